@@ -136,7 +136,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end: int | None =
         wide = memo.kind.itemsize
         for b in batches:
             rows = []
-            for doc, x in zip(b.column(0).to_pylist(), memo.encode_all(b.column(1).to_pylist()), strict=True):
+            for doc, x in zip(b.column(0).to_pylist(), memo.encode_all(b.column(1)), strict=True):
                 x += tail
                 for k, at in enumerate(range(0, len(x), capacity * wide)):
                     own = np.frombuffer(x[at : at + capacity * wide], memo.kind).astype("<u4")

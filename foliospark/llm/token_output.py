@@ -86,7 +86,7 @@ def tokenize(docs: DataFrame, path: str, end: int | None, id_col: str = "doc_id"
         memo = tokens.memo(path)
         tail = b"" if end is None else np.array([end], memo.kind).tobytes()
         for b in batches:
-            out = [x + tail for x in memo.encode_all(b.column(1).to_pylist())]
+            out = [x + tail for x in memo.encode_all(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")

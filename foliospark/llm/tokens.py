@@ -13,6 +13,7 @@ import os
 END = "<|"
 #: Pieces longer than this aren't remembered; so many pieces are, in two generations.
 LONGEST, MOST = 48, 1_000_000
+AT_ONCE = 1_000_000  # bytes of text
 
 _made: dict[str, "Memo"] = {}
 
@@ -83,50 +84,61 @@ class Memo:
     def learn(self, pieces: set[str]) -> None:
         """Put these pieces into the young generation."""
         young, old = self.young, self.old
-        known = lambda x: y if (y := young.get(x)) is not None else old.get(x)
-        made, todo = [], set()
-        for x in pieces:
-            if (got := old.get(x)) is not None:
-                young[x] = got
-            elif x.isascii() and (core := x[:-1] if x[-1:] in (".", ",") else x).isalpha():
-                core = core.lower()  # as the tokenizer does; a sign after letters is encoded apart
-                made.append((x, core, x[-1] if x[-1] in ".," else None))
-                todo.update(y for y in made[-1][1:] if y and known(y) is None)
-            else:
-                todo.add(x)
-        own = self.many(list(todo))
-        young.update(own)
-        young.update((x, known(core) + (known(sign) if sign else b"")) for x, core, sign in made)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of whole texts; none for null and the empty text."""
-        out, part, size = [], [], 0
-        for x in texts:
-            part.append(x)
-            size += len(x or "")
-            if size > 100_000:
-                out += self._encode(part)
-                part, size = [], 0
-        return out + self._encode(part)
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[] if not x or END in x else x.replace("\n", " ").split(" ") for x in texts]
-        fresh = set().union(*split)
-        if len(fresh) > self.half:
+        kept = pieces & old.keys()
+        young.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        young.update(self.many(list(pieces - kept)))
+
+    def encode_all(self, texts) -> list[bytes]:
+        """The ids of whole texts, an Arrow array or list of strings; none for null and the empty text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+        out, lo = [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(ends.searchsorted((ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            out += self._encode(texts.slice(lo, hi - lo))
+            lo = hi
+        return out
+
+    def _encode(self, texts) -> list[bytes]:
+        """Split, number and count the pieces in Arrow and numpy; only different pieces are looked up."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pc.fill_null(pc.match_substring(texts, END), False)
+        # as the tokenizer does, A-Z are lowered, and a full stop or comma after a letter is encoded apart
+        plain = pc.ascii_lower(pc.replace_substring(pc.if_else(whole, "", pc.fill_null(texts, "")), "\n", " "))
+        plain = pc.replace_substring_regex(plain, "([a-z])([.,]) ", "\\1 \\2 ")
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(pieces) > self.half:
             if len(texts) > 1:
-                return [y for x in texts for y in self._encode([x])]
-            return [self.raw(texts[0])]  # this text alone would overfill the memo
-        long = {x for x in fresh if len(x) > LONGEST}
-        missing = fresh - long - self.young.keys()
-        if len(self.young) + 2 * len(missing) > self.half:
-            missing = fresh - long  # the generations change, so all of them have to be learnt again
+                return [y for i in range(len(texts)) for y in self._encode(texts.slice(i, 1))]
+            return [self.raw(texts[0].as_py())]  # this text alone would overfill the memo
+        own = {x: self.raw(x) for x in pieces if len(x) > LONGEST}
+        short = set(pieces).difference(own)
+        missing = short - self.young.keys()
+        if len(self.young) + 3 * len(missing) > self.half:
+            missing = short  # the generations change, so all have to be learnt again
             self.old, self.young = self.young, {}
         self.learn(missing)
-        find = self.young.__getitem__
-        if long:
-            own = {x: self.raw(x) for x in long}
-            find = lambda x: own[x] if len(x) > LONGEST else self.young[x]
-        return [self.raw(x) if x and END in x else b"".join(map(find, y)) for x, y in zip(texts, split, strict=True)]
+        young = self.young
+        found = [own[x] if x in own else young[x] for x in pieces] if own else [*map(young.__getitem__, pieces)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        blob = np.frombuffer(b"".join(found), self.kind)
+        n = sizes[at]
+        stops = n.cumsum()
+        first = (sizes.cumsum() - sizes)[at] - (stops - n)  # of a piece in blob, less its place in the result
+        data = memoryview(blob[np.repeat(first, n) + np.arange(n.sum())].tobytes())
+        cut = (np.concatenate([[0], stops])[np.asarray(lists.offsets) - lists.offsets[0].as_py()] * self.kind.itemsize).tolist()
+        out = [bytes(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.raw(texts[i].as_py())
+        return out
 
 
 def memo(path: str) -> Memo:
