@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_output
+from . import language_id, packing, quality_classifier, simhash, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
