@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_classifier, simhash, token_output
+from . import language_id, packing, quality_classifier, quality_rules, simhash, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -10,6 +10,9 @@ QUERIES = {
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op9_language_id": language_id.op9_language_id,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": quality_rules.ORACLE_SQL,
+}
