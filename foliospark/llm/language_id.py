@@ -14,7 +14,6 @@ rows are predicted as often as they occur; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_classifier, quality_rules, simhash, token_output
+from . import chat_format, embedding_dedup, language_id, packing, quality_classifier, quality_rules, simhash, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
