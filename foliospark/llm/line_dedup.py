@@ -1,7 +1,7 @@
 """Line dedup: of equal and nearly equal lines the first stays.
 
 Lines are the parts of a text between line breaks; the order is that of
-(doc_id, text, line number). A line goes if an equal line comes before it. A
+(doc_id, hash of the text, line number). A line goes if an equal line comes before it. A
 line of at least `least` characters also goes if another line of at least
 `least` characters, within `edits` edits of it, comes before it anywhere.
 
@@ -12,11 +12,13 @@ and probes, for each length up to its own and at most `edits` less, the
 substrings at the places that the segments can have moved to. Candidates are
 verified by banded bit-parallel edit distance.
 
-DataFrame functions only. All lines' keys are first reduced to those with two
-different lines, by an aggregation with partial sums, so that a line's copies
-meet nowhere; only lines with such a key are then carried with their texts. A
-sketch of letter counts, which each edit changes by two at most, is part of the
-join's condition and keeps unlike pairs of a common segment from being formed.
+DataFrame functions only. Lines are written once as numbers: their
+place, hash and keys. All keys are then reduced to those with two different
+lines, by an aggregation with partial results, so that a line's copies meet
+nowhere; only lines with such a key are fetched as texts. Sketches of letter
+counts, of which each edit changes two by one at most, are part of the join's
+condition, and a pair is formed at the first segment that it shares: so unlike
+lines of a common segment, and pairs of several, make no further rows.
 
 Defined cases: null and empty texts have no line, and stay as they are; lines
 without a word stay, so blank lines aren't duplicates; rows of equal doc_id
@@ -33,7 +35,7 @@ from .shared import table, written
 
 EDITS, LEAST = 2, 30
 SMALL = 500_000  # rows of two or three numbers that are broadcast at most; beyond it, joins shuffle
-LETTERS = "enirats"  # counted in the sketch, eight bits each
+LETTERS = ("enirats", "ohldcum")  # counted in the two longs of a sketch, eight bits each
 
 
 def let(value: Column, body) -> Column:
@@ -54,37 +56,38 @@ def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     return (base * k + late).cast("int"), (base + F.when(k >= parts - over, 1).otherwise(0)).cast("int")
 
 
-def keys_of(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of (segment, its line's length, substring): those to index a line under, and those to probe."""
-    index, probe = [], []
-    for k in range(edits + 1):
-        start, size = segment(length, k, edits)
-        index.append(F.xxhash64(F.lit(k), length, F.substring(line, start + 1, size)))
+def keys_of(line: Column, length: Column, edits: int) -> list[Column]:
+    """Hashes of (segment, its line's length, substring) to probe; the first edits + 1 are the segments, to index a line under."""
+    key = lambda k, of, start, size: F.xxhash64(F.lit(k), of, F.substring(line, start + 1, size))
+    own, more = [], []
     for gap in range(edits + 1):
         of = length - gap
         for k in range(edits + 1):
             start, size = segment(of, k, edits)
             for shift in range(max(-k, gap - (edits - k)), min(k, gap + (edits - k)) + 1):
-                probe.append(F.xxhash64(F.lit(k), of, F.substring(line, start + 1 + shift, size)))
-    return index, probe
-
-
-def sketch(line: Column) -> Column:
-    """Counts of LETTERS, modulo 256, in one long."""
-    low = F.lower(line)
-    out = F.lit(0).cast("long")
-    for k, x in enumerate(LETTERS):
-        n = F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255).cast("long")), 8 * k))
+                (own if gap == shift == 0 else more).append(key(k, of, start + shift, size))
+    return own + more
+
+
+def sketch(line: Column) -> list[Column]:
+    """Counts of LETTERS, modulo 256."""
+    low, out = F.lower(line), []
+    for letters in LETTERS:
+        packed = F.lit(0).cast("long")
+        for k, x in enumerate(letters):
+            n = F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))
+            packed = packed.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255).cast("long")), 8 * k))
+        out.append(packed)
     return out
 
 
-def sketch_gap(a: Column, b: Column) -> Column:
+def sketch_gap(a: list[Column], b: list[Column]) -> Column:
     """The least that the letter counts of two sketches differ by in all."""
     total = F.lit(0)
-    for k in range(len(LETTERS)):
-        gap = F.abs(F.shiftright(a, 8 * k).bitwiseAND(F.lit(255).cast("long")) - F.shiftright(b, 8 * k).bitwiseAND(F.lit(255).cast("long")))
-        total = total + F.least(gap, 256 - gap)
+    for x, y, letters in zip(a, b, LETTERS, strict=True):
+        for k in range(len(letters)):
+            gap = F.abs(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("long")) - F.shiftright(y, 8 * k).bitwiseAND(F.lit(255).cast("long")))
+            total = total + F.least(gap, 256 - gap)
     return total
 
 
@@ -136,38 +139,51 @@ def within_edits(long: Column, short: Column, edits: int) -> Column:
     return let(chars, body) <= edits
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, place, line, id): every line with a word. doc tells rows apart that differ in id or text."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, place, line, id): every line with a word. version tells rows of one id apart."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("version"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    rows = rows.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
 
 
+def lines_of(docs: DataFrame, edits: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, place, id, n, keys), written without texts: all later passes but one read these numbers."""
+    rows = texts_of(docs, id_col, text_col).withColumn("n", F.length("line"))
+    keys = F.when(F.col("n") >= least, F.array(*keys_of(F.col("line"), F.col("n"), edits)))
+    return written(rows.select("doc_id", "version", "place", "id", "n", keys.alias("keys")), "lines")[0]
+
+
 def order() -> Column:
     """A line's place in the corpus."""
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "place")
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(id, other): different lines within reach of each other; each pair once for each key that they share is verified, and returned once."""
-    long = lines.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= least)
-    index, probe = keys_of(F.col("line"), F.col("n"), edits)
-    live = long.select("id", F.explode(F.array(*index, *probe)).alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    live, _ = written(live, "keys")
-    # the same keys again, now only those that two lines have, with the texts
-    sides = F.explode(F.array(*[F.struct(k.alias("key"), F.lit(i >= len(index)).alias("probe")) for i, k in enumerate([*index, *probe])])).alias("k")
-    found = long.select("id", "n", "line", sides).select("id", "n", "line", "k.*").join(small(live), "key")
-    found, _ = written(found.groupBy("key", "probe", "id").agg(F.any_value("n").alias("n"), F.any_value("line").alias("line")).withColumn("sketch", sketch(F.col("line"))), "found")
-    a = found.where("NOT probe").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("line").alias("short"), F.col("sketch").alias("sketch2"))
-    pairs = found.where("probe").join(a, "key").where((F.col("id") != F.col("other")) & (F.col("n") >= F.col("m")) & (F.col("n") - F.col("m") <= edits) & ((F.col("n") > F.col("m")) | (F.col("id") > F.col("other"))) & (sketch_gap(F.col("sketch"), F.col("sketch2")) <= 2 * edits))
-    pairs = pairs.groupBy("id", "other").agg(F.any_value("line").alias("line"), F.any_value("short").alias("short"))
+def near_lines(lines: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(id, other): different lines within reach of each other, each pair once."""
+    long = lines.where("keys IS NOT NULL")
+    live = long.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    live, _ = written(live, "live")
+    hits = long.select("id", F.explode("keys").alias("key")).join(small(live), "key").distinct()
+    hits, _ = written(hits, "hits")
+    ids, _ = written(hits.select("id").distinct(), "ids")
+    said = texts.select("id", "line").join(small(ids), "id").groupBy("id").agg(F.any_value("line").alias("line")).withColumn("n", F.length("line"))
+    one, two = sketch(F.col("line"))
+    said, _ = written(said.select("id", "line", "n", F.array(*keys_of(F.col("line"), F.col("n"), edits)).alias("keys"), one.alias("one"), two.alias("two")), "said")
+    found = hits.join(said, "id")
+    # a line is indexed under its segments; a pair is formed at the first segment that both have
+    place = F.array_position(F.slice("keys", 1, edits + 1), F.col("key"))
+    a = found.withColumn("place", place).where("place > 0").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("line").alias("short"), F.slice("keys", F.lit(1), F.greatest(F.col("place") - 1, F.lit(0)).cast("int")).alias("before"), F.col("one").alias("one2"), F.col("two").alias("two2"))
+    longer = (F.col("n") > F.col("m")) | (F.col("id") > F.col("other"))
+    like = sketch_gap([F.col("one"), F.col("two")], [F.col("one2"), F.col("two2")]) <= 2 * edits
+    pairs = found.join(a, "key").where((F.col("id") != F.col("other")) & (F.col("n") >= F.col("m")) & (F.col("n") - F.col("m") <= edits) & longer & like & ~F.arrays_overlap("keys", "before"))
     return pairs.where(within_edits(F.col("line"), F.col("short"), edits)).select("id", "other")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col less its duplicate lines, and n_lines, n_equal, n_near: lines with a word, and those that went as equal or near ones."""
-    lines = lines_of(docs, id_col, text_col)
-    pairs, _ = written(near_lines(lines, edits, least), "pairs")
+    lines = lines_of(docs, edits, least, id_col, text_col)
+    pairs, _ = written(near_lines(lines, texts_of(docs, id_col, text_col), edits), "pairs")
     firsts, _ = written(lines.select("id", order().alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")), "firsts")
     both = pairs.union(pairs.select("other", "id"))
     at = both.select("id").distinct().join(firsts, "id").select("id", "first")
@@ -181,7 +197,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
     gone = going.groupBy("doc_id", "version").agg(F.collect_list("place").alias("_gone"), F.count_if("equal").alias("_equal"), F.count_if(~F.col("equal")).alias("_near"))
     gone, _ = written(gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_gone", "_equal", "_near"), "gone")
     text = F.col(text_col).cast("string")
-    rows = docs.join(small(gone), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_version")), "left")
+    rows = docs.join(small(gone), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_version")), "left")
     parts = F.split(text, "\n")
     keep = let(F.struct(parts.alias("x"), F.col("_gone").alias("gone")), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["x"]) - 1), s["gone"]), lambda i: F.get(s["x"], i)), "\n"))
     count = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
