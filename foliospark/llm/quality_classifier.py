@@ -87,12 +87,12 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.bounds - z, -40, 40)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = 150, rate: float = 0.1, l2: float = 3e-4) -> Model:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = 200, rate: float = 0.1, l2: float = 3e-4) -> Model:
     """Full-batch Adam on the likelihood of the grades, each grade with the same total weight's square root."""
     top = int(grades.max())
     size = np.array([len(r[0]) for r in rows])
-    flat, owner = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), size)
-    dense = np.stack([r[1] for r in rows])
+    flat, owner = np.concatenate([r[0] for r in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), size)
+    dense = np.stack([r[1] for r in rows]).astype(np.float64)
     often = np.bincount(flat, minlength=1 << BITS) >= LEAST
     kept = often[flat]
     ids, flat = np.unique(flat[kept], return_inverse=True)
@@ -135,22 +135,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs:
 
 def fit(docs: DataFrame, ratings: DataFrame, most: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """ratings: (id, grade from 0). None without at least two grades."""
-    made = StructType.fromDDL("grade long, id long, buckets array<int>, dense array<double>")
+    made = StructType.fromDDL("grade long, id long, buckets binary, dense binary")
 
     def run(batches):
         features = Features()
         for b in batches:
-            rows = [(g, i, *(f[0].astype(np.int32), f[1])) for i, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if (f := features(t))]
+            rows = [(g, i, f[0].astype(np.int32).tobytes(), f[1].astype(np.float32).tobytes()) for i, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if (f := features(t))]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.float64()))], made.fieldNames())
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], made.fieldNames())
 
     picked = ratings.where(f"`{id_col}` IS NOT NULL AND grade IS NOT NULL").select(F.col(id_col).alias("id"), F.col("grade").cast("long").alias("grade")).groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(most)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "grade", "text")  # picked: at most `most`
-    rows = sorted(found.mapInArrow(run, made).toLocalIterator(), key=lambda r: (r["id"], len(r["buckets"])))
-    grades = np.array([r["grade"] for r in rows], np.int64)
+    # as bytes, so that the sample stays small on the driver
+    rows = sorted(((r["id"], r["grade"], bytes(r["buckets"]), bytes(r["dense"])) for r in found.mapInArrow(run, made).toLocalIterator()))
+    grades = np.array([r[1] for r in rows], np.int64)
     if len(set(grades.tolist())) < 2:
         return None
-    return train([(np.array(r["buckets"]), np.array(r["dense"])) for r in rows], grades)
+    return train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], grades)
 
 
 def score(docs: DataFrame, model: Model | None, tail: int, text_col: str = "text") -> DataFrame:
