@@ -40,14 +40,14 @@ def character_errors(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "page_no", F.levenshtein("text", "truth").cast("long").alias("edits"), F.length("truth").cast("long").alias("truth_chars"), F.length("text").cast("long").alias("chars"), F.size(F.split("truth", " ")).alias("tokens"), "text", "truth")
 
 
-def ocr_quality(pairs: DataFrame, most_errors: float = 0.15, least_order: float = 0.85, least_coverage: float = 0.85) -> DataFrame:
+def ocr_quality(pairs: DataFrame, most_errors: float = 0.12, least_order: float = 0.85, coverage: tuple[float, float] = (0.80, 1.20)) -> DataFrame:
     """A row for each document: error rate, order, coverage, the rules it breaks, passed."""
     rows = character_errors(pairs).withColumn("order", order_similarity(F.col("text"), F.col("truth")))
     whole = rows.groupBy("doc_id").agg(
         (F.sum("edits") / F.greatest(F.sum("truth_chars"), F.lit(1))).alias("character_error_rate"), (F.sum(F.col("order") * F.col("tokens")) / F.greatest(F.sum("tokens"), F.lit(1))).alias("token_order"),
         (F.sum("chars") / F.greatest(F.sum("truth_chars"), F.lit(1))).alias("character_coverage"),
     )
-    broken = F.array(F.when(F.col("character_error_rate") > most_errors, "character_error_rate"), F.when(F.col("token_order") < least_order, "token_order"), F.when(F.col("character_coverage") < least_coverage, "character_coverage"))
+    broken = F.array(F.when(F.col("character_error_rate") > most_errors, "character_error_rate"), F.when(F.col("token_order") < least_order, "token_order"), F.when(~F.col("character_coverage").between(*coverage), "character_coverage"))
     return whole.withColumn("violations", F.filter(broken, lambda v: v.isNotNull())).withColumn("passed", F.size("violations") == 0)
 
 

@@ -10,6 +10,7 @@ arrays are bounded by nature, not by a cap. No page is joined with another.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import geometry as G, text as X
 
@@ -17,8 +18,9 @@ PROTECTED = ("figure", "figure_text", "table_text", "formula", "header", "footer
 MATH = "[=∑∫√λσφ±×÷≤≥≈≠∞^_{}⌊⌋ˆ˜−∈∥|<>•/]"
 LAST = 1_000_000  # the reading order of regions without one
 
-PAGE = Window.partitionBy("doc_id", "page_no")
-BOX = G.box()
+
+def page() -> WindowSpec:
+    return Window.partitionBy("doc_id", "page_no")
 
 
 def has_text() -> Column:
@@ -44,9 +46,9 @@ def base_type(y0: Column, y1: Column, page_height: Column, size: Column, body: C
 
 def with_body_size(rows: DataFrame) -> DataFrame:
     """body_size: the page's median font size, each region weighted by its lines; 0 if no region counts."""
-    counts = F.col("font_size").isNotNull() & (G.width(BOX) >= 0.22 * F.col("page_width")) & ~F.col("type").isin("title", "header", "footer")
-    lines = F.coalesce("line_count", F.greatest(F.lit(1), F.bround(G.height(BOX) / F.col("font_size")).cast("int")))
-    sizes = F.flatten(F.collect_list(F.when(counts, F.array_repeat("font_size", F.least(lines, F.lit(50))))).over(PAGE))
+    counts = F.col("font_size").isNotNull() & (G.width(G.box()) >= 0.22 * F.col("page_width")) & ~F.col("type").isin("title", "header", "footer")
+    lines = F.coalesce("line_count", F.greatest(F.lit(1), F.bround(G.height(G.box()) / F.col("font_size")).cast("int")))
+    sizes = F.flatten(F.collect_list(F.when(counts, F.array_repeat("font_size", F.least(lines, F.lit(50))))).over(page()))
     # the median of the page's sorted sizes
     sorted_ = F.array_sort(sizes)
     n = F.size(F.col("_sizes"))
@@ -57,7 +59,7 @@ def with_body_size(rows: DataFrame) -> DataFrame:
 def special_regions(rows: DataFrame) -> DataFrame:
     """Margin marks, captions, numbered headings and footnotes."""
     rows = rows.withColumn("_text", X.collapse(F.col("source_text"))).withColumn("_open", (F.col("_text") != "") & (F.col("type") != "figure"))
-    upright = F.col("_open") & (G.height(BOX) > 2.2 * G.width(BOX)) & (F.col("x0") < 0.12 * F.col("page_width"))
+    upright = F.col("_open") & (G.height(G.box()) > 2.2 * G.width(G.box())) & (F.col("x0") < 0.12 * F.col("page_width"))
     rows = rows.withColumn("_mark", F.coalesce(upright, F.lit(False)))
     rows = relabel(rows, F.col("_mark"), "header", "vertical_margin_mark", 0.95, translatable=False)
     still = F.col("_open") & ~F.col("_mark")
@@ -70,14 +72,14 @@ def special_regions(rows: DataFrame) -> DataFrame:
     rows = relabel(rows, F.col("_case") == 1, "figure_caption", "figure_caption_prefix", 0.95)
     rows = relabel(rows, F.col("_case") == 2, "table_caption", "table_caption_prefix", 0.95)
     rows = relabel(rows, F.col("_case") == 3, "heading", "numbered_bold_heading", 0.85)
-    low = still & (F.col("body_size") > 0) & (F.col("font_size") <= 0.86 * F.col("body_size")) & (F.col("y0") >= 0.82 * F.col("page_height")) & (G.width(BOX) <= 0.48 * F.col("page_width")) & (F.col("type") == "paragraph")
+    low = still & (F.col("body_size") > 0) & (F.col("font_size") <= 0.86 * F.col("body_size")) & (F.col("y0") >= 0.82 * F.col("page_height")) & (G.width(G.box()) <= 0.48 * F.col("page_width")) & (F.col("type") == "paragraph")
     return relabel(rows, low, "footnote", "small_bottom_text", 0.8).drop("_mark", "_case")
 
 
 def front_matter(rows: DataFrame) -> DataFrame:
     """Text between the title and the abstract: the first is the author, the rest affiliations."""
-    bottom = F.max(F.when(F.col("type") == "title", F.col("y1"))).over(PAGE)
-    top = F.min(F.when((F.col("type") == "heading") & (F.lower("_text") == "abstract"), F.col("y0"))).over(PAGE)
+    bottom = F.max(F.when(F.col("type") == "title", F.col("y1"))).over(page())
+    top = F.min(F.when((F.col("type") == "heading") & (F.lower("_text") == "abstract"), F.col("y0"))).over(page())
     rows = rows.withColumns({"_top": bottom, "_end": top})
     rows = rows.withColumn("_front", F.coalesce(has_text() & (F.col("type") == "paragraph") & (F.col("y0") >= F.col("_top")) & (F.col("y1") <= F.col("_end")), F.lit(False)))
     first = F.row_number().over(Window.partitionBy("doc_id", "page_no", "_front").orderBy("y0", "region_ord")) == 1
@@ -89,7 +91,7 @@ def front_matter(rows: DataFrame) -> DataFrame:
 
 def collected(kind: Column, *fields: str) -> Column:
     """A page's boxes of a kind, in the order of extraction."""
-    return F.transform(F.array_sort(F.collect_list(F.when(kind, F.struct("region_ord", BOX.alias("b"), *fields))).over(PAGE)), lambda x: x)
+    return F.transform(F.array_sort(F.collect_list(F.when(kind, F.struct("region_ord", G.box().alias("b"), *fields))).over(page())), lambda x: x)
 
 
 def figure_text(rows: DataFrame) -> DataFrame:
@@ -97,12 +99,12 @@ def figure_text(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_caps": collected(F.col("type") == "figure_caption"), "_backs": collected(F.coalesce("ocr_background", F.lit(False)), "region_id")})
     small = F.coalesce((F.col("body_size") > 0) & (F.col("font_size") < 0.92 * F.col("body_size")), F.lit(False))
     by_id = F.exists("_backs", lambda k: k["region_id"] == F.col("ocr_source_region_id"))
-    scan = (F.col("content_source") == "paddleocr") & F.when(F.col("ocr_source_region_id").isNotNull(), by_id).otherwise(F.exists("_backs", lambda k: G.inside(BOX, k["b"])))
+    scan = (F.col("content_source") == "paddleocr") & F.when(F.col("ocr_source_region_id").isNotNull(), by_id).otherwise(F.exists("_backs", lambda k: G.inside(G.box(), k["b"])))
 
     def fits(cap: Column) -> Column:
         c = cap["b"]
         top = F.greatest(F.lit(0.0), c["y0"] - 0.75 * F.col("page_height"))
-        return (F.col("y0") >= top) & (F.col("y1") <= c["y1"] + 2) & (G.overlap_x(BOX, c) > 0) & ((G.width(BOX) <= 0.78 * G.width(c)) | small)
+        return (F.col("y0") >= top) & (F.col("y1") <= c["y1"] + 2) & (G.overlap_x(G.box(), c) > 0) & ((G.width(G.box()) <= 0.78 * G.width(c)) | small)
 
     hit = has_text() & (F.col("type") == "paragraph") & ~F.coalesce(scan, F.lit(False)) & F.exists("_caps", fits)
     return relabel(rows, hit, "figure_text", "text_inside_figure_above_caption", 0.82, translatable=False).drop("_caps", "_backs")
@@ -118,8 +120,8 @@ def table_text(rows: DataFrame) -> DataFrame:
         c = cap["b"]
         top, bottom = F.greatest(F.lit(0.0), c["y0"] - 0.35 * F.col("page_height")), F.least(F.col("page_height"), c["y1"] + 0.35 * F.col("page_height"))
         dense = (numbers >= 3) & (numbers >= 0.5 * words)
-        label = (F.length("_text") <= 80) & (words <= 10) & (G.width(BOX) <= 0.45 * G.width(c))
-        return (F.col("y0") >= top) & (F.col("y1") <= bottom) & (G.overlap_x(BOX, c) > 0) & (small | ((G.width(BOX) <= 0.9 * G.width(c)) & (dense | label)))
+        label = (F.length("_text") <= 80) & (words <= 10) & (G.width(G.box()) <= 0.45 * G.width(c))
+        return (F.col("y0") >= top) & (F.col("y1") <= bottom) & (G.overlap_x(G.box(), c) > 0) & (small | ((G.width(G.box()) <= 0.9 * G.width(c)) & (dense | label)))
 
     rows = rows.withColumn("_cap", F.when(has_text() & (F.col("type") == "paragraph"), F.get(F.filter("_caps", fits), F.lit(0))))
     side = F.when(F.col("y1") <= F.col("_cap.b.y0") + 2, "table_text_above_caption").otherwise("table_text_below_caption")
@@ -156,18 +158,18 @@ def columns(rows: DataFrame) -> DataFrame:
     body = has_text() & ~F.col("type").isin(*PROTECTED)
     middle, half = (F.col("x0") + F.col("x1")) / 2, F.col("page_width") / 2
     tall = F.when(F.col("content_source") == "paddleocr", 6).otherwise(12)
-    real = body & G.width(BOX).between(0.22 * F.col("page_width"), 0.48 * F.col("page_width")) & (G.height(BOX) >= tall)
-    left, right = (F.count_if(F.coalesce(real & side, F.lit(False))).over(PAGE) for side in (middle < half, middle >= half))
+    real = body & G.width(G.box()).between(0.22 * F.col("page_width"), 0.48 * F.col("page_width")) & (G.height(G.box()) >= tall)
+    left, right = (F.count_if(F.coalesce(real & side, F.lit(False))).over(page()) for side in (middle < half, middle >= half))
     rows = rows.withColumns({"_l": left, "_r": right})
     two = ((F.col("_l") >= 2) & (F.col("_r") >= 1)) | ((F.col("_l") >= 1) & (F.col("_r") >= 2))
-    across = F.col("type").isin("title", "author", "affiliation") | ((F.col("x0") < half) & (F.col("x1") > half) & (G.width(BOX) >= 0.36 * F.col("page_width")))
+    across = F.col("type").isin("title", "author", "affiliation") | ((F.col("x0") < half) & (F.col("x1") > half) & (G.width(G.box()) >= 0.36 * F.col("page_width")))
     column = F.when(F.col("type").isin(*PROTECTED), F.lit(None).cast("int")).when(across, 0).when(~F.col("two_columns"), 1).when(middle < half, 1).otherwise(2)
     return rows.withColumn("two_columns", two).withColumn("column_index", column).drop("_l", "_r")
 
 
 def abstracts(rows: DataFrame) -> DataFrame:
     """Paragraphs below an abstract's heading and above the next heading of its column."""
-    rows = rows.withColumn("_heads", F.array_sort(F.collect_list(F.when(F.col("type") == "heading", F.struct("y0", "y1", F.lower("_text").alias("t"), "column_index", "region_ord"))).over(PAGE)))
+    rows = rows.withColumn("_heads", F.array_sort(F.collect_list(F.when(F.col("type") == "heading", F.struct("y0", "y1", F.lower("_text").alias("t"), "column_index", "region_ord"))).over(page())))
 
     def holds(h: Column) -> Column:
         later = F.filter("_heads", lambda k: k["column_index"].eqNullSafe(h["column_index"]) & (k["y0"] > h["y0"]))
@@ -181,7 +183,7 @@ def abstracts(rows: DataFrame) -> DataFrame:
 def reading_order(rows: DataFrame) -> DataFrame:
     """reading_order from 1: wide regions on top, the columns, wide regions below; null for the rest."""
     body = has_text() & ~F.col("type").isin(*PROTECTED) & F.col("column_index").isNotNull()
-    top = F.coalesce(F.min(F.when(has_text() & F.col("column_index").isin(1, 2), F.col("y0"))).over(PAGE), F.col("page_height"))
+    top = F.coalesce(F.min(F.when(has_text() & F.col("column_index").isin(1, 2), F.col("y0"))).over(page()), F.col("page_height"))
     bucket = F.when(F.col("column_index") > 0, F.col("column_index")).when(F.col("y0") <= F.col("_top") + 12, 0).otherwise(3)
     rows = rows.withColumn("_top", top).withColumn("_body", body)
     order = Window.partitionBy("doc_id", "page_no").orderBy((~F.col("_body")).cast("int"), bucket, "y0", "x0", "region_ord")

@@ -6,9 +6,9 @@ A region row has its page's size, so page-level operators need no join. Ids are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-REGION = T.StructType.fromDDL(
+REGION = (
     "doc_id long, page_no int, region_ord int, region_id string, type string, x0 double, y0 double, x1 double, y1 double, source_text string,"
     " font_size double, flags int, translatable boolean, confidence double, content_source string, native_block_type string,"
     " ocr_background boolean, ocr_source_region_id string, line_count int, page_width double, page_height double, drawing_count int"
