@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .shared import drop_path, table, written
 
@@ -72,19 +72,23 @@ def draw(id_: Column) -> Column:
 
 
 def rake(cells: DataFrame, targets: dict[str, Targets], sweeps: int = SWEEPS) -> DataFrame:
-    """cells (the dimensions, tokens) with g, the calibration."""
+    """cells (the dimensions, tokens) with g, the calibration.
+
+    A category's sum is a window over its cells, which are combinations of
+    categories, not documents; so a scaling is one shuffle of cells, without a join.
+    """
     now, path = written(cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double")), "cells")
+    tokens = now.agg(F.sum("tokens")).first()[0] or 0
+    totals = {x: now.select(x).distinct().agg(F.sum(t.column(F.col(x)))).first()[0] or 1.0 for x, t in targets.items()}
     for _ in range(sweeps):
         for name, target in targets.items():
-            sums = now.groupBy(name).agg(F.sum("w").alias("_s")).withColumn("_t", target.column(F.col(name)))
-            total = sums.agg(F.sum("_t").alias("_all"))
-            factor = sums.crossJoin(F.broadcast(total)).select(name, (F.col("_t") / F.col("_all") / F.col("_s")).alias("_f"))  # total: one row
-            now = now.join(factor, name).withColumn("w", F.col("w") * F.col("_f")).drop("_f")
+            share = target.column(F.col(name)) / F.lit(float(totals[name]))
+            now = now.withColumn("w", F.col("w") * (share / F.sum("w").over(Window.partitionBy(name))))
         now, new = written(now, "cells")
         drop_path(cells.sparkSession, path)
         path = new
-    total = now.agg(F.sum("tokens").alias("_n"), F.sum("w").alias("_w"))
-    return now.crossJoin(F.broadcast(total)).withColumn("g", F.col("w") / F.col("_w") * F.col("_n") / F.col("tokens")).drop("_n", "_w", "w")  # total: one row
+    # the weights sum to one, as the last targets do
+    return now.withColumn("g", F.col("w") * F.lit(float(tokens)) / F.col("tokens")).drop("w")
 
 
 def mix(docs: DataFrame, targets: dict[str, Targets] | None = None, fraction: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
