@@ -13,7 +13,7 @@ them, or as frequent in the top grade as elsewhere, have no weight.
 
 Defined cases: null and empty texts have no words and are rejected; null
 ratings aren't learned from; without two grades to learn from, every document
-with a word gets a tail probability of 0.5 and is kept; repeated rows are
+with a word gets a tail probability of 1 and is kept; repeated rows are
 scored as often as they occur; other columns are passed on.
 """
 
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model | None, tail: int, text_col: str = "text
             expected, tails = [], []
             for text in b.column(names.index(text_col)).to_pylist():
                 f = features(text)
-                p = None if f is None else own.tails(*f) if own else np.array([0.5])
+                p = None if f is None else own.tails(*f) if own else np.array([1.0])
                 expected.append(None if p is None else float(p.sum()))
                 tails.append(None if p is None else float(p[min(tail, len(p)) - 1]))
             yield pa.record_batch([*b.columns, pa.array(expected, pa.float64()), pa.array(tails, pa.float64())], [*names, "expected_grade", "tail_probability"])
@@ -181,7 +181,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """docs with expected_grade, tail_probability = P(grade >= 2) and kept."""
     model = fit(docs, graded(labels))
     return score(docs, model, tail=2).withColumn("kept", F.coalesce(F.col("tail_probability") >= least, F.lit(False)))
