@@ -37,8 +37,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents that meets the target weights."""
-    return source_mixing.mix(docs).where("kept").select(*COLUMNS)
+    """Documents in numbers that meet the target weights: some go, and those of rare categories come several times."""
+    return source_mixing.repeated(source_mixing.mix(docs)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

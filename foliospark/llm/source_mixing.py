@@ -6,7 +6,9 @@ language's, then each topic's, for SWEEPS rounds. A document's calibration g
 is its cell's raked weight over its tokens, with a mean of one; it is sampled
 with probability min(1, fraction * g), and one sampled at 1 counts
 sample_weight = max(1, fraction * g) times, so that weighted tokens meet the
-targets. Draws are a hash of the document's id, the same on every run.
+targets. repeated() makes the weight take effect: a document comes
+floor(fraction * g) times, and once more with the probability of the rest.
+Draws are a hash of the document's id, the same on every run.
 
 DataFrame functions only. Only cells are iterated on; each sweep is written
 and read again, so plans stay short and a lost executor costs one reread.
@@ -104,6 +106,16 @@ def mix(docs: DataFrame, targets: dict[str, Targets] | None = None, fraction: fl
     return out.withColumn("kept", draw(F.col(id_col)) < F.col("probability")).withColumnRenamed("_topic", "topic" if "topic" not in docs.columns else "_topic").drop("g", *dims)
 
 
+def repeated(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The kept rows of mix(), each as often as its weight asks for, so that plain token counts meet the targets.
+
+    Tokens stay about fraction times those of all documents, whatever the weights.
+    """
+    weight = F.col("probability") * F.col("sample_weight")
+    times = F.floor(weight) + (draw(F.col(id_col)) < weight - F.floor(weight)).cast("int")
+    return mixed.where("kept").withColumn("_time", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times).cast("int")))).drop("_time")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), F.round("sample_weight", 6).alias("sample_weight"), "kept")

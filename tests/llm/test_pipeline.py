@@ -46,3 +46,25 @@ def test_sketch_estimates_similarity():
         true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
         x, y = (np.frombuffer(simhash.sketch(simhash.hashes(w, 5)), np.uint8)[None] for w in (a, b))
         assert abs(float(simhash.alike(x, y)[0]) - true) < 0.12
+
+
+def test_mix_meets_targets_in_kept_tokens(spark):
+    from foliospark.llm.source_mixing import TARGETS
+
+    rng = random.Random(6)
+    rows, ends = [], {"prose": "", "notice": " license", "contact": " a@b", "table": " | "}
+    for i in range(6000):  # rare categories need weights above one, and one source is hot
+        kind = rng.choices(list(ends), [96, 1, 1, 2])[0]
+        rows.append((i, "word " * rng.randrange(5, 40) + "end" + ends[kind], rng.choices(["en", "de", "fr", "es"], [80, 8, 7, 5])[0], rng.choices(["hot", "s1", "s2"], [8, 1, 1])[0], 1, kind))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kinds = {r[0]: r[5] for r in rows}
+    kept = corpus_pipeline.mix(spark, docs, "").collect()
+    tokens = lambda r: r["text"].count(" ") + 1
+    total = sum(map(tokens, kept))
+    for name, of in (("source", lambda r: r["source"]), ("lang", lambda r: r["lang"]), ("topic", lambda r: kinds[r["doc_id"]])):
+        found = {of(r) for r in kept}
+        want = {x: TARGETS[name].named.get(x, TARGETS[name].default) for x in found}
+        for x in found:
+            share = sum(tokens(r) for r in kept if of(r) == x) / total
+            assert abs(share - want[x] / sum(want.values())) < 0.02, (name, x, share)
+    assert abs(total / sum(map(tokens, docs.collect())) - 1) < 0.05
