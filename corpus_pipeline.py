@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import line_dedup, packing, quality_classifier, simhash, source_mixing, tokens
+from foliospark.llm import line_dedup, packing, quality_classifier, set_dedup, source_mixing, tokens
 from foliospark.llm.shared import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Fingerprints of five-word shingles within BITS bits whose shingle sets are as similar as this.
-SHINGLE, BITS, SIMILARITY = 5, 8, 0.8
+#: Near-duplicates are texts whose sets of five-word shingles are as similar as this.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each group of near-duplicates."""
-    fps, _ = written(simhash.fingerprints(docs, SHINGLE, with_sketch=True), "fps")
-    found = simhash.near_duplicates(fps, BITS, SIMILARITY).where("component_id IS NULL OR component_id = doc_id").select("doc_id").distinct()
-    kept, _ = written(found, "firsts")
-    # rows of one id have one text here or are copies of each other's lines; the first stays
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The first document, by id, of each group of near-duplicates; null ids come last."""
+    return set_dedup.first_of_each(docs.select(*COLUMNS), SHINGLE, SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,142 @@
+"""Near-duplicates by the exact similarity of shingle sets, with candidates from bands of minima.
+
+A text is the set of the XXH64 hashes of its word shingles. Texts of equal sets
+are one node; nodes are linked if the Jaccard similarity of their sets is at
+least a bound, and a component's texts are near-duplicates.
+
+Candidates are nodes that share a band: DEPTH minima of their sets, each under
+another permutation, in one of BANDS bands. Two sets of similarity s share a
+band with the probability 1 - (1 - s**DEPTH)**BANDS, which is 0.999997 at 0.8
+and more above. All members of a band are then compared on their whole sets,
+which are made again for candidates only: no link is estimated. Bands with the
+same members are compared once, and bands over RUN_ROWS are dealt out as pairs
+of chunks.
+
+Defined cases: null and empty texts have the empty set, which equals itself
+only; fewer words than a shingle make one shingle; sets are told apart by 64
+bits; other columns, null ids among them, are passed on.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .shared import components, written
+from .simhash import dealt, hashes, words_of
+
+BANDS, DEPTH = 32, 5
+RUN_ROWS = 1024
+BINS = 256
+
+_RNG = np.random.default_rng(20)
+_XOR, _ODD = (_RNG.integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_OF_BAND = _RNG.integers(0, 1 << 63, (BANDS, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key of each band of a set of hashes; the band's number is part of the key through its factors."""
+    least = np.full(BANDS * DEPTH, ~np.uint64(0))
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, ((found[None, at : at + 1024] ^ _XOR[:, None]) * _ODD[:, None]).min(1))
+    return (least.reshape(BANDS, DEPTH) * _OF_BAND).sum(1, dtype=np.uint64)
+
+
+def hashed(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """docs, written, with uid (a row's own number), node (its set) and keys (its bands)."""
+    from xxhash import xxh64_intdigest as digest
+
+    rows = docs.withColumn("uid", F.monotonically_increasing_id())
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(hashes(words_of(x), shingle)) for x in b.column(text_col).to_pylist()]
+            node = pa.array(np.array([digest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+            keys = pa.array(np.concatenate([np.zeros(0, np.uint64), *map(bands, sets)]).view(np.int64))
+            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([*b.columns, node, pa.ListArray.from_arrays(ends, keys)], [*b.schema.names, "node", "keys"])
+
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
+    return written(rows.mapInArrow(run, schema + ", node long, keys array<long>"), "hashed")[0]
+
+
+def star(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning links of nodes whose sets are similar enough; pairs that are joined already aren't compared again."""
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    node, sets = node[order], [sets[k] for k in order]
+    size = np.array([len(x) for x in sets])
+    counts = np.array([np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for x in sets])
+    counts = counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int64)
+    root, a, b = np.arange(len(sets)), [], []
+    for s in range(1, len(sets)):
+        low, high = size[:-s], size[s:]
+        near = np.flatnonzero(low >= similarity * high - 1e-6)
+        if not len(near):
+            break  # sizes ascend, so partners further on are larger still
+        near = near[root[near] != root[near + s]]
+        # an intersection is at most the sum of the lesser counts by bin, so this drops no link
+        most = np.concatenate([np.minimum(counts[x], counts[x + s]).sum(1, dtype=np.int64) for x in np.array_split(near, 1 + len(near) // 4096)])
+        near = near[most >= similarity * (low[near] + high[near] - most) - 1e-6]
+        for p in near.tolist():
+            q = p + s
+            if root[p] == root[q]:
+                continue
+            both = np.sort(np.concatenate([sets[p], sets[q]]))
+            common = int((both[1:] == both[:-1]).sum())
+            if common / (len(both) - common) >= similarity:
+                root[root == root[q]] = root[p]
+                a.append(int(node[p]))
+                b.append(int(node[q]))
+    return a, b
+
+
+def compared(batches, keys: list[str], similarity: float):
+    """Arrow batches (*keys, node, shingles), sorted by keys -> spanning links (a, b) of each run of equal keys."""
+
+    def links(node, sets):
+        a, b = star(np.array(node, np.int64), sets, similarity) if len(sets) > 1 else ([], [])
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    last, node, sets = None, [], []
+    for batch in batches:
+        for *key, x, found in zip(*(batch.column(c).to_pylist() for c in (*keys, "node", "shingles")), strict=True):
+            if key != last:
+                if len(sets) > 1:
+                    yield links(node, sets)
+                last, node, sets = key, [], []
+            node.append(x)
+            sets.append(np.frombuffer(found, np.uint64))
+    yield links(node, sets)
+
+
+def set_links(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
+    """Spanning links (a, b) of similar nodes. rows: of hashed(); nodes: written (node, uid of one of its rows, keys)."""
+    probes = nodes.select(F.explode("keys").alias("key"), "node")
+    members = probes.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
+    chosen = members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members, _ = written(probes.join(chosen, "key"), "members")
+    wanted, _ = written(members.select("node").distinct().join(nodes.select("node", "uid"), "node").select("uid"), "wanted")
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(hashes(words_of(x), shingle)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = rows.select("uid", "node", text_col).join(wanted, "uid", "left_semi").select("node", text_col)
+    sets, _ = written(texts.mapInArrow(run, "node long, shingles binary"), "sets")
+    keys = ["key", "i", "j"]
+    spread = dealt(members, ["key"], "node", RUN_ROWS).join(sets, "node").select(*keys, "node", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return spread.mapInArrow(lambda batches: compared(batches, keys, similarity), "a long, b long")
+
+
+def first_of_each(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: the first by id, null ids last, then by a hash of the row."""
+    rows = hashed(docs, shingle, text_col)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash"), "uid")
+    nodes, _ = written(rows.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")).withColumn("uid", F.col("first.uid")), "nodes")
+    parts = components(set_links(rows, nodes, shingle, similarity, text_col))
+    of = nodes.select("node", "first").join(parts, "node", "left")
+    firsts = of.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+    gone, _ = written(rows.select("uid").join(firsts, "uid", "left_anti"), "gone")
+    return rows.join(gone, "uid", "left_anti").select(*docs.columns)

@@ -68,3 +68,32 @@ def test_mix_meets_targets_in_kept_tokens(spark):
             share = sum(tokens(r) for r in kept if of(r) == x) / total
             assert abs(share - want[x] / sum(want.values())) < 0.02, (name, x, share)
     assert abs(total / sum(map(tokens, docs.collect())) - 1) < 0.05
+
+
+def pairs_of(rng, lows, n=20, size=400):
+    """Pairs of texts with a similarity of five-word shingle sets just above each of lows, and the similarity."""
+    out = []
+    for low in lows:
+        for _ in range(n):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            b, best = list(a), None
+            for k in rng.sample(range(size), size):
+                b[k] = f"x{rng.randrange(10**6)}"
+                sets = [{tuple(x[i : i + 5]) for i in range(size - 4)} for x in (a, b)]
+                now = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+                if now < low:
+                    break
+                best = (" ".join(a), " ".join(b), now)
+            out.append(best)
+    return out
+
+
+def kept_ids(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted((r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()), key=str)
+
+
+def test_near_copies_close_to_the_bound_are_found(spark):
+    pairs = pairs_of(random.Random(7), (0.8, 0.9, 0.95))
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    assert set(kept_ids(spark, rows)) == {2 * i for i in range(len(pairs))}
