@@ -97,3 +97,20 @@ def test_near_copies_close_to_the_bound_are_found(spark):
     pairs = pairs_of(random.Random(7), (0.8, 0.9, 0.95))
     rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
     assert set(kept_ids(spark, rows)) == {2 * i for i in range(len(pairs))}
+
+
+def test_links_are_verified_on_whole_sets(spark):
+    import numpy as np
+
+    from foliospark.llm import set_dedup
+
+    rng = np.random.default_rng(8)
+    for common, linked in ((316, False), (319, False), (320, True), (324, True)):  # of 400 in the union
+        for _ in range(40):
+            x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+            a, b = np.sort(x[: 400 - (400 - common) // 2]), np.sort(np.concatenate([x[:common], x[400 - (400 - common) // 2 :]]))
+            assert bool(set_dedup.star(np.array([1, 2]), [a, b], 0.8)[0]) == linked
+    # one shingle, repeated, is most of both texts, so their fingerprints are equal; the rest is different
+    texts = ["same " * 200 + " ".join(f"{c}{k}" for k in range(60)) for c in "xy"]
+    found = [simhash.fingerprint(simhash.hashes(simhash.words_of(t), 5)) for t in texts]
+    assert found[0] == found[1] and kept_ids(spark, list(enumerate(texts))) == [0, 1]
