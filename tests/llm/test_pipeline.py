@@ -114,3 +114,11 @@ def test_links_are_verified_on_whole_sets(spark):
     texts = ["same " * 200 + " ".join(f"{c}{k}" for k in range(60)) for c in "xy"]
     found = [simhash.fingerprint(simhash.hashes(simhash.words_of(t), 5)) for t in texts]
     assert found[0] == found[1] and kept_ids(spark, list(enumerate(texts))) == [0, 1]
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("c")), (2, text("d")), (3, text("d")), (3, text("e")), (None, text("e")), (None, text("f")), (None, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"][0]) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()), key=lambda r: r[1])
+    assert got == [(None, "a"), (None, "b"), (1, "c"), (2, "d"), (3, "e"), (None, "f")]
