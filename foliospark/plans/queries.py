@@ -115,7 +115,7 @@ def _terms(spark, sf_dir) -> DataFrame:
 
 
 def glossary_hits(spark, sf_dir):
-    rows = TR.contexts(_turns(spark, sf_dir), _terms(spark, sf_dir))
+    rows = TR.contexts(_turns(spark, sf_dir), _terms(spark, sf_dir), most_terms=None)
     return rows.select("doc_id", "flow_ord", F.size("glossary").alias("hits"), F.array_join(F.transform("glossary", lambda g: g["source"]), ",").alias("terms"))
 
 

@@ -192,3 +192,15 @@ def test_against_sql(spark, name):
     cols = sorted(got.columns)
     tidy = lambda df: df[cols].astype(str).sort_values(cols).reset_index(drop=True)
     assert tidy(got).equals(tidy(want))
+
+
+def test_large_glossaries_drop_no_flow(spark, tmp_path):
+    turns = [(1, 0, "user", "Wordab and wordzz"), (1, 1, "user", "nothing"), (2, 0, "user", "wordba")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(k, f"word{a}{b} more") for k, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["flow_ord"]): r["terms"] for r in queries.glossary_hits(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): "wordab,wordzz", (1, 1): "", (2, 0): "wordba"}
+    with pytest.raises(Exception, match="at most 500 terms"):
+        TR.contexts(queries._turns(spark, str(tmp_path)), queries._terms(spark, str(tmp_path))).collect()
