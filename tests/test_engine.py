@@ -204,3 +204,14 @@ def test_large_glossaries_drop_no_flow(spark, tmp_path):
     assert got == {(1, 0): "wordab,wordzz", (1, 1): "", (2, 0): "wordba"}
     with pytest.raises(Exception, match="at most 500 terms"):
         TR.contexts(queries._turns(spark, str(tmp_path)), queries._terms(spark, str(tmp_path))).collect()
+
+
+def test_cut_outs_of_all_regions(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join("some words " * (k % 4 + 1) for k in range(23)), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    boxes = {r["region_ord"]: tuple(int(r[c]) for c in ("x0", "y0", "x1", "y1")) for r in queries.regions(spark, str(tmp_path)).collect()}
+    want = {}
+    for k, (x0, y0, x1, y1) in boxes.items():
+        cut = lambda x, y: (x0 + 10 <= x < x0 + 50 and y0 + 2 <= y < y0 + 8) or x0 + 40 <= x < x0 + 70  # noqa: B023, E731
+        want[k] = sum(not cut(x, y) for x in range(x0, x1) for y in range(y0, y1))
+    got = {r["region_ord"]: r["area"] for r in queries.cut_outs(spark, str(tmp_path)).collect()}
+    assert len(got) == 23 and got == want
