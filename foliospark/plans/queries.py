@@ -136,7 +136,7 @@ def protected_round_trip(spark, sf_dir):
 
 def placeholder_issues(spark, sf_dir):
     mark = lambda n: F.concat(F.lit("⟦PT"), F.lpad((n % 7).cast("string"), 4, "0"), F.lit("⟧"))
-    text = F.concat(F.substring("text", 1, 40), mark(F.col("doc_id")), mark(F.col("doc_id") * 3), mark(F.col("n_chars")))
+    text = F.concat(F.coalesce("text", F.lit("")), mark(F.col("doc_id")), mark(F.col("doc_id") * 3), mark(F.col("n_chars")))
     rows = table(spark, sf_dir, "documents").select("doc_id", X.placeholder_issues(text, F.array(F.lit("⟦PT0001⟧"), F.lit("⟦PT0002⟧"), F.lit("⟦PT0003⟧"))).alias("i"))
     return rows.select("doc_id", *[F.array_join(f"i.{k}", ",").alias(k) for k in ("missing", "duplicated", "unknown")])
 

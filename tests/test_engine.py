@@ -215,3 +215,11 @@ def test_cut_outs_of_all_regions(spark, tmp_path):
         want[k] = sum(not cut(x, y) for x in range(x0, x1) for y in range(y0, y1))
     got = {r["region_ord"]: r["area"] for r in queries.cut_outs(spark, str(tmp_path)).collect()}
     assert len(got) == 23 and got == want
+
+
+def test_placeholders_late_in_a_text(spark, tmp_path):
+    late = "word " * 20 + "⟦PT0001⟧ ⟦PT0005⟧"
+    spark.createDataFrame([(2, late, 3), (2, None, 3)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r)[1:] for r in queries.placeholder_issues(spark, str(tmp_path)).collect()}
+    mark = "⟦PT000{}⟧".format
+    assert got == {("", "", f"{mark(5)},{mark(6)}"), (mark(1), "", mark(6))}
