@@ -82,17 +82,25 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
                 left = 0
             else:
                 first, n = rooms[room][-1]
-                take = min(n, left)
-                rows.append((length, rank, first, capacity - room))
-                if take == n:
+                each = room // length  # a sequence just filled is the tightest, so it takes all that fit
+                full = min(n, left // each)
+                rest = min(left - full * each, each - 1) if full < n else 0
+                for k in range(each):
+                    if m := full + (k < rest):
+                        rows.append((length, rank, first, capacity - room + k * length))
+                        rank += m
+                taken = full + bool(rest)
+                if taken == n:
                     rooms[room].pop()
                     if not rooms[room]:
                         tree.put(room, False)
                 else:
-                    rooms[room][-1] = [first + take, n - take]
-                rooms.setdefault(room - length, []).append([first, take])
-                tree.put(room - length, True)
-                rank, left = rank + take, left - take
+                    rooms[room][-1] = [first + taken, n - taken]
+                for m, at, used in ((full, first, each * length), (1 if rest else 0, first + full, rest * length)):
+                    if m:
+                        rooms.setdefault(room - used, []).append([at, m])
+                        tree.put(room - used, True)
+                left -= full * each + rest
     return rows
 
 

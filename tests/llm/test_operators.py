@@ -98,6 +98,12 @@ def test_plan_is_best_fit_decreasing():
         assert len(bins) == best_fit(lengths, capacity)
 
 
+def test_plan_fills_the_tightest_sequence_first():
+    lengths = [11, 11, 4, 4, 3, 3, 3]
+    rows = packing.plan({11: 2, 4: 2, 3: 3}, 20)
+    assert len({s for k, (x, r, s, _) in enumerate(rows)}) == best_fit(lengths, 20) == 2
+
+
 def test_packing(spark, docs):
     rows, df = docs
     got = packing.pack_documents(df, tokens.vocabulary(), 256, end=1, with_ids=True).collect()
