@@ -7,15 +7,16 @@ decodes a block with one table lookup for the lengths and one gather.
 
 A file holds the documents of one range of ids, in ascending order, as blocks:
 
-    magic "FSV1", documents u4, ids u8, control bytes u8, data bytes u8,
-    document ids i8[], ids in each u4[], control bytes, data bytes
+    magic "FSV2", documents u4, ids u8, control bytes u8, data bytes u8,
+    documents without id u8, document ids i8[], ids in each u4[], control
+    bytes, data bytes
 
-all little-endian. Files, their counts and the table from rank to id are listed in a
+all little-endian; documents without id are a block's first. Files, their counts and the table from rank to id are listed in a
 manifest that Spark commits, so files of failed attempts are never read.
 
 Defined cases: a null or empty text has the end id only; a null doc_id sorts
 first and is read back as null; repeated rows and equal ids stay, in the order
-of (doc_id, ids); an empty table gives no files; other columns are ignored.
+of (doc_id, a hash of the ids), and may lie in several files; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import tokens
 from .shared import drop_path, local_path, new_path, table, written
 
-MAGIC = b"FSV1"
+MAGIC = b"FSV2"
+HEAD = 40
 BLOCK_IDS = 1 << 20  # ids in a block, but for a longer document
 FILE_IDS = 1 << 22  # ids aimed at in a file
-NO_ID = -(1 << 63)  # stands for a null doc_id in a file
 
 #: Control byte -> lengths of its four values.
 LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
@@ -63,20 +64,20 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _block(ids: list, parts: list[bytes], kind: np.dtype, rank: np.ndarray) -> bytes:
     counts = np.array([len(x) // kind.itemsize for x in parts], "<u4")
     control, data = encode_values(rank[np.frombuffer(b"".join(parts), kind)])
-    head = np.array([int(counts.sum()), len(control), len(data)], "<u8")
-    at = np.array([NO_ID if x is None else x for x in ids], "<i8")
+    head = np.array([int(counts.sum()), len(control), len(data), ids.count(None)], "<u8")
+    at = np.array([x or 0 for x in ids], "<i8")
     return b"".join([MAGIC, np.array([len(ids)], "<u4").tobytes(), head.tobytes(), at.tobytes(), counts.tobytes(), control, data])
 
 
-def read_blocks(stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def read_blocks(stream) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(document ids, ids in each, ranks of all) of each block of an open file."""
-    while head := stream.read(32):
-        if head[:4] != MAGIC or len(head) < 32:
+    while head := stream.read(HEAD):
+        if head[:4] != MAGIC or len(head) < HEAD:
             raise ValueError("not a token file, or cut short")
         docs = int(np.frombuffer(head[4:8], "<u4")[0])
-        n, control, data = (int(x) for x in np.frombuffer(head[8:], "<u8"))
+        n, control, data, without = (int(x) for x in np.frombuffer(head[8:], "<u8"))
         ids, counts = np.frombuffer(stream.read(8 * docs), "<i8"), np.frombuffer(stream.read(4 * docs), "<u4")
-        yield ids, counts, decode_values(stream.read(control), stream.read(data), n)
+        yield pa.array(ids, pa.int64(), mask=np.arange(docs) < without), counts, decode_values(stream.read(control), stream.read(data), n)
 
 
 def tokenize(docs: DataFrame, path: str, end: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,8 +99,9 @@ def ranks(ids: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     def run(batches):
         n = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
+            x = b.column(0).cast(pa.binary())
+            ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset :]
+            n += np.bincount(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[len(x)]].view(kind), minlength=size) if len(x) else 0
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(n[at])], ["id", "n"])
 
@@ -150,7 +152,10 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end: int | None =
                 n_docs, n_ids = n_docs + len(own), n_ids + size
         yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["shard", "path", "docs", "ids"])
 
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # rows of one id, and equal rows, are parted by their place in the written table
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "place"]
+    placed = ids.withColumns({"hash": F.xxhash64("ids"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(run, "shard long, path string, docs long, ids long").write.parquet(f"{folder}/shards")
     drop_path(spark, temp)
     # one row a file, so this window has a row for each four million ids
@@ -178,7 +183,7 @@ def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataF
                         starts = ends - counts
                         data = memoryview(ids.tobytes())
                         crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]
-                        cols = [pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(start + starts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())]
+                        cols = [docs, pa.array(start + starts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())]
                         if with_ids:
                             cols.append(pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(ids.astype(np.int32))))
                         yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))

@@ -11,9 +11,9 @@ from __future__ import annotations
 import os
 
 END = "<|"
-#: Pieces longer than this aren't remembered; so many pieces are, in two generations.
+#: Pieces longer than this aren't remembered; so many pieces are at most.
 LONGEST, MOST = 48, 1_000_000
-AT_ONCE = 1_000_000  # bytes of text
+AT_ONCE = 6_000_000  # bytes of text
 
 _made: dict[str, "Memo"] = {}
 
@@ -25,23 +25,24 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class Memo:
-    """Pieces with their ids, as little-endian bytes of self.kind.
+    """Pieces, an Arrow array, with their ids, slices of one numpy array of self.kind.
 
-    When the young generation is full it becomes the old one, whose pieces
-    return to the young one as they are used; so memory is bounded and
-    frequent pieces stay.
+    Pieces are looked up by Arrow, many texts at once. When there are more
+    than `most`, those stay that were met again since the last time it was so,
+    or none if they are over half; so memory is bounded and frequent pieces stay.
     """
 
     def __init__(self, path: str, most: int = MOST):
         import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.half = most // 2
+        self.most = most
+        self.pieces = pa.array([], pa.string())
+        self.sizes, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, bool)
         mark = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         vocab = self.tokenizer.get_vocab()
@@ -53,40 +54,52 @@ class Memo:
 
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def many(self, pieces: list[str]) -> dict[str, bytes]:
-        """The pieces' ids, of one call each for words and for other pieces.
+    def many(self, pieces: list[str]) -> list[bytes]:
+        """The pieces' ids, of one call each for words, for other pieces, and for the rest.
 
         A word is letters only and ends with the first id that ends a word.
         Digits are encoded one by one, so a 0 parts pieces that hold none.
         """
         import numpy as np
 
-        out = {}
-        words = [x for x in pieces if x.isascii() and x.isalpha()]
+        out: list[bytes | None] = [None] * len(pieces)
+        wide = self.kind.itemsize
+        words = [i for i, x in enumerate(pieces) if len(x) <= LONGEST and x.isascii() and x.isalpha()]
         if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in words])], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(words):
-                data, wide = ids.tobytes(), self.kind.itemsize
-                ends = (ends * wide).tolist()
-                out.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        rest = [x for x in pieces if x not in out]
-        plain = [x for x in rest if self.mark is not None and "0" not in x]
+                data, ends = ids.tobytes(), (ends * wide).tolist()
+                for i, a, b in zip(words, [0, *ends], ends):
+                    out[i] = data[a:b]
+        plain = [i for i, x in enumerate(pieces) if out[i] is None and self.mark is not None and len(x) <= LONGEST and "0" not in x]
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join([pieces[i] for i in plain])], add_special_tokens=False)[0].ids, self.kind)
             at = np.flatnonzero(ids == self.mark)
-            data, wide = ids.tobytes(), self.kind.itemsize
-            starts, ends = [0, *((at + 1) * wide).tolist()], [*(at * wide).tolist(), len(data)]
-            out.update(zip(plain, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
-        out.update((x, self.raw(x)) for x in rest if x not in out)
+            data = ids.tobytes()
+            for i, a, b in zip(plain, [0, *((at + 1) * wide).tolist()], [*(at * wide).tolist(), len(data)], strict=True):
+                out[i] = data[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = np.array(x.ids, self.kind).tobytes()
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put these pieces into the young generation."""
-        young, old = self.young, self.old
-        kept = pieces & old.keys()
-        young.update(zip(kept, map(old.__getitem__, kept), strict=True))
-        young.update(self.many(list(pieces - kept)))
+    def remember(self, pieces, sizes, ids) -> None:
+        """Add these new pieces, but for long ones; make room first if there is none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        short = pc.less_equal(pc.utf8_length(pieces), LONGEST).to_numpy(zero_copy_only=False)
+        if len(self.pieces) + int(short.sum()) > self.most:
+            kept = self.used if 2 * int(self.used.sum()) <= self.most else np.zeros(len(self.used), bool)
+            self.ids, self.sizes, self.pieces = self.ids[np.repeat(kept, self.sizes)], self.sizes[kept], self.pieces.filter(pa.array(kept))
+            self.used = np.zeros(len(self.sizes), bool)
+        if len(self.pieces) + int(short.sum()) > self.most:
+            return
+        self.pieces = pa.concat_arrays([self.pieces, pieces.filter(pa.array(short))])
+        self.ids, self.sizes = np.concatenate([self.ids, ids[np.repeat(short, sizes)]]), np.concatenate([self.sizes, sizes[short]])
+        self.used = np.concatenate([self.used, np.zeros(int(short.sum()), bool)])
 
     def encode_all(self, texts) -> list[bytes]:
         """The ids of whole texts, an Arrow array or list of strings; none for null and the empty text."""
@@ -103,7 +116,7 @@ class Memo:
         return out
 
     def _encode(self, texts) -> list[bytes]:
-        """Split, number and count the pieces in Arrow and numpy; only different pieces are looked up."""
+        """Split, look up and join the pieces in Arrow and numpy; only new pieces become Python strings."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -113,27 +126,24 @@ class Memo:
         plain = pc.ascii_lower(pc.replace_substring(pc.if_else(whole, "", pc.fill_null(texts, "")), "\n", " "))
         plain = pc.replace_substring_regex(plain, "([a-z])([.,]) ", "\\1 \\2 ")
         lists = pc.split_pattern(plain, " ")
-        coded = lists.flatten().dictionary_encode()
-        at, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(pieces) > self.half:
-            if len(texts) > 1:
-                return [y for i in range(len(texts)) for y in self._encode(texts.slice(i, 1))]
-            return [self.raw(texts[0].as_py())]  # this text alone would overfill the memo
-        own = {x: self.raw(x) for x in pieces if len(x) > LONGEST}
-        short = set(pieces).difference(own)
-        missing = short - self.young.keys()
-        if len(self.young) + 3 * len(missing) > self.half:
-            missing = short  # the generations change, so all have to be learnt again
-            self.old, self.young = self.young, {}
-        self.learn(missing)
-        young = self.young
-        found = [own[x] if x in own else young[x] for x in pieces] if own else [*map(young.__getitem__, pieces)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        blob = np.frombuffer(b"".join(found), self.kind)
+        flat = lists.flatten()
+        found = pc.index_in(flat, value_set=self.pieces)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        open_ = flat.filter(pc.is_null(found))
+        new = open_.unique()
+        ids, sizes = self.ids, self.sizes
+        self.used[at[at >= 0]] = True
+        if len(new):
+            at[at < 0] = len(sizes) + pc.index_in(open_, value_set=new).to_numpy()
+            made = self.many(new.to_pylist())
+            more = np.frombuffer(b"".join(made), self.kind)
+            size = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+            ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, size])
+            self.remember(new, size, more)
         n = sizes[at]
         stops = n.cumsum()
-        first = (sizes.cumsum() - sizes)[at] - (stops - n)  # of a piece in blob, less its place in the result
-        data = memoryview(blob[np.repeat(first, n) + np.arange(n.sum())].tobytes())
+        first = (sizes.cumsum() - sizes)[at] - (stops - n)  # of a piece in ids, less its place in the result
+        data = memoryview(ids[np.repeat(first, n) + np.arange(n.sum())].tobytes())
         cut = (np.concatenate([[0], stops])[np.asarray(lists.offsets) - lists.offsets[0].as_py()] * self.kind.itemsize).tolist()
         out = [bytes(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
