@@ -56,6 +56,16 @@ def cut_out(source: Column, blockers: Column) -> Column:
     return F.aggregate(blockers, F.array(source), lambda acc, b: F.flatten(F.transform(acc, lambda a: subtract(a, b))))
 
 
+def cut_outs(source: Column, blockers: Column) -> Column:
+    """How many blockers take something away from what the ones before them left."""
+
+    def step(acc: Column, b: Column) -> Column:
+        pieces = F.flatten(F.transform(acc["pieces"], lambda a: subtract(a, b)))
+        return F.struct(pieces.alias("pieces"), (acc["n"] + F.when(pieces == acc["pieces"], 0).otherwise(1)).alias("n"))
+
+    return F.aggregate(blockers, F.struct(F.array(source).alias("pieces"), F.lit(0).alias("n")), step, lambda a: a["n"])
+
+
 def line_box(x0: Column, x1: Column, baseline: Column, size: Column) -> Column:
     """The box that a line of text takes up."""
     return F.struct(x0.alias("x0"), (baseline - 0.95 * size).alias("y0"), x1.alias("x1"), (baseline + 0.15 * size).alias("y1"))

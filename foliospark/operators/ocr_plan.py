@@ -74,5 +74,5 @@ def without_duplicates(ocr: DataFrame, native: DataFrame) -> DataFrame:
     from ..functions import geometry as G
 
     a, b = ocr.withColumn("_a", G.box()), native.select("doc_id", "page_no", G.box().alias("_b"))
-    own = G.width(F.col("_a")) * G.height(F.col("_a"))
-    return a.join(b, (a["doc_id"] == b["doc_id"]) & (a["page_no"] == b["page_no"]) & (G.intersection(F.col("_a"), F.col("_b")) >= 0.5 * own) & (own > 0), "left_anti").drop("_a")
+    own = F.greatest(F.lit(1.0), G.width(F.col("_a")) * G.height(F.col("_a")))
+    return a.join(b, (a["doc_id"] == b["doc_id"]) & (a["page_no"] == b["page_no"]) & (G.intersection(F.col("_a"), F.col("_b")) >= 0.5 * own), "left_anti").drop("_a")

@@ -8,15 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as X
 
 
-def nfkc(text: Column) -> Column:
-    """NFKC, which no built-in function does."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
-
-    return F.pandas_udf(run, "string")(text)
-
-
 def order_similarity(a: Column, b: Column) -> Column:
     """How well the tokens of two texts follow each other."""
 
@@ -32,7 +23,7 @@ def page_text(regions: DataFrame) -> DataFrame:
     """(doc_id, page_no, text): a page's text in reading order, the rest by place."""
     item = F.struct(F.col("reading_order").isNull().alias("late"), "reading_order", "y0", "x0", "region_ord", "source_text")
     rows = regions.where(F.coalesce("source_text", F.lit("")) != "").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return rows.select("doc_id", "page_no", X.collapse(F.array_join(F.transform("items", lambda i: i["source_text"]), " ")).alias("text"))
+    return rows.select("doc_id", "page_no", X.collapse(X.normal(F.array_join(F.transform("items", lambda i: i["source_text"]), " "))).alias("text"))
 
 
 def character_errors(pairs: DataFrame) -> DataFrame:
@@ -51,13 +42,19 @@ def ocr_quality(pairs: DataFrame, most_errors: float = 0.12, least_order: float
     return whole.withColumn("violations", F.filter(broken, lambda v: v.isNotNull())).withColumn("passed", F.size("violations") == 0)
 
 
+def ems(text: Column) -> Column:
+    """A text's width in ems, by the advances of the layout: 1 for wide characters, 0.5 for others."""
+    wide = F.regexp_count(text, F.lit(r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{20000}-\x{3FFFD}]"))
+    return 0.5 * (F.length(text) + wide)
+
+
 def reading_map(flows: DataFrame, regions: DataFrame, placed: DataFrame, results: DataFrame) -> DataFrame:
     """(doc_id, page_no, paragraph): each page's paragraphs with their source and line boxes; those without a box are left out."""
     rows = flows.select("doc_id", "flow_ord", "flow_id", "type", "source_text", "translatable", F.posexplode("region_ids").alias("pos", "region_id"))
     box = F.array(*[F.round(c, 3) for c in ("x0", "y0", "x1", "y1")])
     source = rows.join(regions.select("doc_id", "region_id", "page_no", box.alias("box")), ["doc_id", "region_id"]).groupBy("doc_id", "flow_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("pos", "box"))).alias("s"))
     size = F.col("font_size")
-    line = F.array(F.round("x", 3), F.round(F.col("baseline") - 0.95 * size, 3), F.round(F.col("x") + 0.5 * size * F.length("text"), 3), F.round(F.col("baseline") + 0.15 * size, 3))
+    line = F.array(F.round("x", 3), F.round(F.col("baseline") - 0.95 * size, 3), F.round(F.col("x") + size * ems(F.col("text")), 3), F.round(F.col("baseline") + 0.15 * size, 3))
     target = placed.groupBy("doc_id", "flow_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("box")))).alias("t"), F.max("variant").alias("variant"))
     both = source.join(target, ["doc_id", "flow_id", "page_no"], "full").where("s IS NOT NULL OR t IS NOT NULL")
     said = flows.where("translatable").select("doc_id", "flow_id", "flow_ord", "type", "source_text").join(results.select("doc_id", "flow_id", "normal", "compact"), ["doc_id", "flow_id"])
@@ -81,13 +78,14 @@ def weighted_lower_median(rows: DataFrame, by: list[str], value: str, weight: st
 
 
 def top_titles(regions: DataFrame) -> DataFrame:
-    """(doc_id, title): the best candidate on a first page by size, width and height on the page."""
-    body = F.greatest(F.lit(11.0), 1.18 * F.col("body_size"))
-    ok = (F.col("page_no") == 1) & (F.col("y0") <= 0.48 * F.col("page_height")) & (F.col("font_size") >= body) & F.length("source_text").between(5, 600)
-    text = X.collapse(F.col("source_text"))
-    fine = text.rlike(r"\p{L}") & ~F.lower(text).rlike("arxiv|doi|https?:|@") & ~F.lower(text).isin("abstract", "introduction", "references", "contents")
-    score = 4 * F.col("font_size") / F.greatest(F.lit(1.0), F.col("body_size")) + (F.col("x1") - F.col("x0")) / F.col("page_width") + (1 - F.col("y0") / F.col("page_height"))
-    return regions.where(ok & fine).groupBy("doc_id").agg(F.max_by(text, F.struct(score, -F.col("region_ord"))).alias("title"))
+    """(doc_id, title): the best candidate on a first page by size, width and height on the page; the first of equal ones."""
+    text, body, reach = X.display(F.col("source_text")), F.col("body_size"), 0.48 * F.col("page_height")
+    large = (body <= 0) | (F.coalesce("font_size", F.lit(0.0)) >= F.greatest(F.lit(11.0), 1.18 * body))
+    size = F.coalesce("font_size", F.lit(0.0)) / F.when(body > 0, body).otherwise(10.0)
+    wide = F.least(F.lit(1.0), (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1.0), F.col("page_width")))
+    high = 1 - F.least(F.lit(1.0), F.col("y0") / F.greatest(F.lit(1.0), reach))
+    rows = regions.where((F.col("page_no") == 1) & (F.col("y0") <= reach) & large).withColumn("_title", text).where(X.is_visual_title(F.col("_title")))
+    return rows.groupBy("doc_id").agg(F.max_by("_title", F.struct(4 * size + wide + high, -F.col("region_ord"))).alias("title"))
 
 
 def gate(results: DataFrame, gates: list[str], by: str = "doc_id") -> DataFrame:

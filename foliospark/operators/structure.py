@@ -131,8 +131,8 @@ def table_text(rows: DataFrame) -> DataFrame:
 def formulas(rows: DataFrame) -> DataFrame:
     """Formulas by their signs, then the short pieces beside them, and beside those, until nothing is added.
 
-    The closure is a fold over the page's short pieces: as many steps as there
-    are, each adding the pieces next to what is known.
+    The closure is a fold over the page's short pieces, made once a page: each
+    step adds the pieces next to those that the last one added.
     """
     t = F.col("_text")
     compact = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
@@ -147,10 +147,20 @@ def formulas(rows: DataFrame) -> DataFrame:
     label = (F.length(t) <= 40) & t.endswith(":")
     rows = rows.withColumn("_piece", F.coalesce(has_text() & (F.col("type") == "paragraph") & (piece | label), F.lit(False)))
     rows = rows.withColumns({"_seeds": collected(F.col("type") == "formula"), "_pieces": collected(F.col("_piece"))})
-    beside = lambda known: lambda p: F.exists(known, lambda k: G.near(p["b"], k["b"], 16, 24))
-    grown = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("_pieces"), F.lit(1))), F.col("_seeds"), lambda known, _: F.concat(F.col("_seeds"), F.filter("_pieces", beside(known))))
-    closure = F.when((F.size("_seeds") > 0) & (F.size("_pieces") > 0), F.exists(F.slice(grown, F.size("_seeds") + 1, F.greatest(F.size("_pieces"), F.lit(1))), lambda k: k["region_ord"] == F.col("region_ord")))
-    return relabel(rows, F.col("_piece") & closure, "formula", "adjacent_formula_fragment", 0.74, translatable=False).drop("_piece", "_seeds", "_pieces")
+    beside = lambda front: lambda p: F.exists(front, lambda k: G.near(p["b"], k["b"], 16, 24))
+    ords = lambda x: F.transform(x, lambda p: p["region_ord"])
+
+    def step(s: Column, _: Column) -> Column:
+        new = F.filter(s["left"], beside(s["front"]))
+        left = F.filter(s["left"], lambda p: ~F.array_contains(ords(new), p["region_ord"]))
+        return F.when(F.size(s["front"]) == 0, s).otherwise(F.struct(left.alias("left"), new.alias("front"), F.concat(s["added"], ords(new)).alias("added")))
+
+    start = F.struct(F.col("_pieces").alias("left"), F.col("_seeds").alias("front"), F.array().cast("array<int>").alias("added"))
+    added = F.aggregate(F.sequence(F.lit(1), F.size("_pieces")), start, step, lambda s: s["added"])
+    some = (F.size("_seeds") > 0) & (F.size("_pieces") > 0) & (F.row_number().over(page().orderBy("region_ord")) == 1)
+    rows = rows.withColumn("_made", some).withColumn("_added", F.when(F.col("_made"), added))
+    rows = rows.withColumn("_added", F.first("_added", ignorenulls=True).over(page()))
+    return relabel(rows, F.col("_piece") & F.array_contains("_added", F.col("region_ord")), "formula", "adjacent_formula_fragment", 0.74, translatable=False).drop("_piece", "_seeds", "_pieces", "_made", "_added")
 
 
 def columns(rows: DataFrame) -> DataFrame:

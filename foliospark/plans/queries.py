@@ -44,7 +44,7 @@ def reading_order(spark, sf_dir):
 
 def _structured(spark, sf_dir) -> DataFrame:
     """Recovered regions, written once: edges, flows and layout read them several times."""
-    return written(S.recover(regions(spark, sf_dir)), "regions")
+    return written(S.recover(_continued(regions(spark, sf_dir))), "regions")
 
 
 def structure(spark, sf_dir):
@@ -72,7 +72,8 @@ def ocr_diagnostics(spark, sf_dir):
 
 
 def ocr_summary(spark, sf_dir):
-    return O.summary(O.decide(O.diagnostics(regions(spark, sf_dir))))
+    out = O.summary(O.decide(O.diagnostics(regions(spark, sf_dir).withColumn("content_source", F.when(F.col("page_no") % 2 == 0, "paddleocr").otherwise("native_pdf")).withColumn("confidence", F.when(F.col("doc_id") % 2 == 0, 0.5).otherwise(1.0)))))
+    return out.withColumn("blocking_pages", F.array_join("blocking_pages", ","))
 
 
 def without_duplicates(spark, sf_dir):
@@ -81,16 +82,29 @@ def without_duplicates(spark, sf_dir):
     return O.without_duplicates(moved, rows.where("region_ord % 2 = 1 OR region_ord % 4 = 0")).select("doc_id", "page_no", "region_ord")
 
 
+def _continued(rows: DataFrame) -> DataFrame:
+    """Regions most of which go on with the sentence of the one before, across columns and pages: lower-case starts, no full stop at the end."""
+    open_end = F.regexp_replace(F.col("source_text"), r"[^\p{L}\p{Nd}]+$", "")
+    lower = F.lower(F.regexp_replace(open_end, r"^[^\p{L}]+", ""))
+    text = F.when(F.col("region_ord") % 6 == 0, open_end).when(F.col("region_ord") % 6 == 5, F.concat(lower, F.lit("."))).otherwise(lower)
+    return rows.withColumn("source_text", text).where("source_text <> ''")
+
+
+def _ordered(spark, sf_dir) -> DataFrame:
+    return written(S.reading_order(S.columns(_continued(regions(spark, sf_dir)))), "ordered")
+
+
 def flow_edges(spark, sf_dir):
-    return FL.edges(_structured(spark, sf_dir))
+    return FL.edges(_ordered(spark, sf_dir))
 
 
 def flows(spark, sf_dir):
-    return FL.flows(_structured(spark, sf_dir)).select("doc_id", "flow_ord", "flow_id", "type", F.size("region_ids").alias("regions"), F.array_join("page_numbers", ",").alias("pages"), "source_text", "translatable", "confidence")
+    out = FL.flows(_ordered(spark, sf_dir))
+    return out.select("doc_id", "flow_id", "type", F.size("region_ids").alias("regions"), F.array_join("page_numbers", ",").alias("pages"), F.md5(F.col("source_text").cast("binary")).alias("text_md5"), "translatable", "confidence")
 
 
 def flow_stats(spark, sf_dir):
-    rows = _structured(spark, sf_dir)
+    rows = _ordered(spark, sf_dir)
     links = written(FL.edges(rows), "edges")
     return FL.flow_stats(FL.flows(rows, links), links)
 
@@ -106,7 +120,7 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 
 def contexts(spark, sf_dir):
-    return TR.contexts(_turns(spark, sf_dir)).select("doc_id", "flow_ord", "section_title", "previous", "next", "clipped")
+    return TR.contexts(_turns(spark, sf_dir)).select("doc_id", "flow_ord", "section_title", "previous", "next", F.size("clipped").alias("clipped"))
 
 
 def _terms(spark, sf_dir) -> DataFrame:
@@ -168,8 +182,16 @@ def job_states(spark, sf_dir):
 
 
 def events_by_window(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return out.select(F.unix_timestamp("w.start").alias("start_s"), "event_type", "n")
+    out = J.events_by_window(table(spark, sf_dir, "events"))
+    return out.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n")
+
+
+def job_transitions(spark, sf_dir):
+    return J.transitions(table(spark, sf_dir, "events"))
+
+
+def settled_events(spark, sf_dir):
+    return J.settled(table(spark, sf_dir, "events")).select("user_id", F.unix_timestamp("burst.start").alias("start_s"), "n", "event_type")
 
 
 def character_errors(spark, sf_dir):
@@ -234,7 +256,7 @@ def _laid_out(spark, sf_dir):
     asked = made.withColumn("first", F.element_at("region_ids", 1)).join(size, ["doc_id", "first"])
     asked = asked.withColumns({"normal": TR.mock_text(F.col("source_text")), "compact": TR.mock_text(F.col("source_text"), 0.82)})
     asked = written(asked, "asked")
-    return rows, asked, written(L.lay_out(asked.select("doc_id", "flow_ord", "flow_id", "region_ids", "normal", "compact", "font_size"), rows), "placed")
+    return rows, asked, written(L.lay_out(asked.select("doc_id", "flow_ord", "flow_id", "type", "region_ids", "normal", "compact", "font_size"), rows), "placed")
 
 
 def layout(spark, sf_dir):
@@ -267,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ir_regions, body_sizes, special_regions, formula_seeds, reading_order, structure, page_layouts, coverage, ocr_diagnostics, ocr_summary, without_duplicates, flow_edges, flows, flow_stats, lexicon, contexts, glossary_hits, context_stats,
-        protected_counts, protected_round_trip, placeholder_issues, usage_by_flag, usage_by_job, weighted_medians, job_states, events_by_window, character_errors, ocr_quality, box_collisions, cut_outs, plain_urls, cache_misses, mock_lengths, gated,
+        protected_counts, protected_round_trip, placeholder_issues, usage_by_flag, usage_by_job, weighted_medians, job_states, events_by_window, job_transitions, settled_events, character_errors, ocr_quality, box_collisions, cut_outs, plain_urls, cache_misses, mock_lengths, gated,
         titles, layout, layout_safety, reading_map, translation_summary,
     )
 }
@@ -281,9 +303,24 @@ _COLS = """k AS (SELECT *, coalesce((lc >= 2 AND rc >= 1) OR (lc >= 1 AND rc >=
   count(*) FILTER (x1 - x0 BETWEEN 132 AND 288 AND y1 - y0 >= 12 AND (x0 + x1) / 2 < 300) OVER p AS lc, count(*) FILTER (x1 - x0 BETWEEN 132 AND 288 AND y1 - y0 >= 12 AND (x0 + x1) / 2 >= 300) OVER p AS rc
   FROM r WINDOW p AS (PARTITION BY doc_id, page_no))),
 c AS (SELECT *, (CASE WHEN NOT two_columns THEN 1 WHEN (x0 + x1) / 2 < 300 THEN 1 ELSE 2 END)::INT AS column_index FROM k)"""
+_PROSE = """x AS (SELECT *, CASE WHEN region_ord % 6 = 0 THEN o WHEN region_ord % 6 = 5 THEN lo || '.' ELSE lo END AS t FROM (SELECT *, lower(regexp_replace(o, '^[^\\p{L}]+', '')) AS lo FROM (SELECT *, regexp_replace(source_text, '[^\\p{L}\\p{Nd}]+$', '') AS o FROM r))),
+v AS (SELECT *, len(regexp_extract_all(t, '\\p{L}')) AS lt, len(regexp_extract_all(t, '\\p{Nd}')) AS dg, len(regexp_extract_all(t, '[=∑∫√±×÷≤≥≈≠∞^_{}]')) AS mt, len(regexp_extract_all(t, '[A-Za-z]{3,}')) AS wd FROM x WHERE t <> ''),
+k AS (SELECT *, coalesce((lc >= 2 AND rc >= 1) OR (lc >= 1 AND rc >= 2), false) AS two_columns FROM (SELECT *,
+  count(*) FILTER (x1 - x0 BETWEEN 132 AND 288 AND y1 - y0 >= 12 AND (x0 + x1) / 2 < 300) OVER p AS lc, count(*) FILTER (x1 - x0 BETWEEN 132 AND 288 AND y1 - y0 >= 12 AND (x0 + x1) / 2 >= 300) OVER p AS rc FROM v WINDOW p AS (PARTITION BY doc_id, page_no))),
+c AS (SELECT *, 'p' || page_no || '-text-' || region_ord % 40 AS id, (CASE WHEN NOT two_columns THEN 1 WHEN (x0 + x1) / 2 < 300 THEN 1 ELSE 2 END)::INT AS col,
+  (lt + dg + mt > 0 AND wd >= 4 AND lt >= 0.82 * (lt + dg + mt) AND dg <= greatest(4, round_even(lt * 0.12, 0))) OR (lt + dg + mt > 0 AND length(t) <= 100 AND wd >= 2 AND lt >= 0.65 * (lt + dg + mt) AND dg <= greatest(12, round_even(lt * 0.4, 0))) AS prose,
+  regexp_matches(t, '[.!?;:][\\])}"''’”]*$') AS stops, regexp_matches(t, '^\\p{Ll}') AS low FROM k),
+m AS (SELECT *, lag(row) OVER (PARTITION BY doc_id ORDER BY page_no, col, y0, x0, region_ord) AS p FROM (SELECT *, c AS row FROM c)),
+j AS (SELECT doc_id, p.id AS prev_id, id AS next_id, CASE WHEN p.page_no = page_no AND p.col = col THEN 'same_column' WHEN p.page_no = page_no THEN 'cross_column' ELSE 'cross_page' END AS boundary, y0, p.y1 AS py1, p.font_size AS pf, region_ord FROM m
+  WHERE p IS NOT NULL AND type = 'paragraph' AND p.type = 'paragraph' AND prose AND p.prose AND NOT p.stops AND low AND font_size / p.font_size BETWEEN 0.82 AND 1.22),
+e AS (SELECT *, CASE boundary WHEN 'same_column' THEN 0.88 WHEN 'cross_column' THEN 0.84 ELSE 0.8 END::DOUBLE AS confidence FROM j WHERE CASE boundary WHEN 'same_column' THEN y0 - py1 <= greatest(8, pf * 1.8) WHEN 'cross_column' THEN py1 >= 576 AND y0 <= 440 ELSE py1 >= 576 AND y0 <= 240 END),
+h AS (SELECT c.*, e.confidence AS sure, sum(CASE WHEN e.doc_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c.doc_id ORDER BY c.page_no, c.col, c.y0, c.x0, c.region_ord) AS g FROM c LEFT JOIN e ON c.doc_id = e.doc_id AND c.id = e.next_id AND c.region_ord = e.region_ord),
+f AS (SELECT doc_id, g, arg_min(id, (page_no, col, y0, x0, region_ord)) AS head, arg_min(type, (page_no, col, y0, x0, region_ord)) AS type, count(*) AS n, list_distinct(list(page_no)) AS pages, string_agg(trim(t), ' ' ORDER BY page_no, col, y0, x0, region_ord) AS said, coalesce(min(sure), 1.0)::DOUBLE AS confidence FROM h GROUP BY doc_id, g)"""
 _WIDE = "b AS (SELECT doc_id, page_no, region_ord, x0, y0, x1 + 120 AS x1, y1 + 20 AS y1 FROM r)"
 _TURNS = "t AS (SELECT conv_id AS doc_id, turn AS flow_ord, CASE WHEN role = 'system' THEN 'heading' ELSE 'paragraph' END AS type, text FROM conversations WHERE trim(text) <> '')"
 _CLIP = "CASE WHEN length({0}) > 600 THEN rtrim(left({0}, 597), ' ') || '...' ELSE {0} END"
+_AROUND = """s AS (SELECT *, {'o': flow_ord, 't': trim(regexp_replace(text, '\\s+', ' ', 'g'))} AS own FROM t),
+w AS (SELECT *, last_value(CASE WHEN type = 'heading' THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY flow_ord ROWS UNBOUNDED PRECEDING) AS h, lag(own) OVER (PARTITION BY doc_id ORDER BY flow_ord) AS p, lead(own) OVER (PARTITION BY doc_id ORDER BY flow_ord) AS n FROM s)"""
 
 ORACLE_SQL = {
     "ir_regions": f"WITH {_IR} SELECT doc_id, page_no, region_ord, type, x0, y0, x1, y1, font_size, n AS chars FROM r",
@@ -312,13 +349,22 @@ SELECT doc_id, page_no, native_chars, native_regions, ocr_chars, ocr_regions, CA
     "without_duplicates": f"""WITH {_IR}, o AS (SELECT doc_id, page_no, region_ord, x0, y0 + 4 AS y0, x1, y1 + 24 AS y1 FROM r WHERE region_ord % 2 = 0)
 SELECT doc_id, page_no, region_ord FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = o.doc_id AND r.page_no = o.page_no AND (r.region_ord % 2 = 1 OR r.region_ord % 4 = 0)
   AND greatest(0, least(o.x1, r.x1) - greatest(o.x0, r.x0)) * greatest(0, least(o.y1, r.y1) - greatest(o.y0, r.y0)) >= 0.5 * (o.x1 - o.x0) * (o.y1 - o.y0))""",
+    "flow_edges": f"WITH {_IR}, {_PROSE} SELECT doc_id, prev_id, next_id, boundary, confidence FROM e",
+    "flows": f"WITH {_IR}, {_PROSE} SELECT doc_id, 'flow-' || head AS flow_id, type, n::INT AS regions, array_to_string(list_sort(pages), ',') AS pages, md5(trim(regexp_replace(said, '\\s+', ' ', 'g'))) AS text_md5, true AS translatable, confidence FROM f",
+    "flow_stats": f"""WITH {_IR}, {_PROSE}, s AS (SELECT doc_id, count(*) AS flow_count, count(*) FILTER (n > 1) AS merged_flow_count FROM f GROUP BY doc_id), b AS (SELECT doc_id, count(*) FILTER (boundary = 'cross_column') AS cc, count(*) FILTER (boundary = 'cross_page') AS cp, count(*) FILTER (boundary = 'same_column') AS sc FROM e GROUP BY doc_id)
+SELECT doc_id, flow_count, merged_flow_count, 0::BIGINT AS ocr_merged_flow_count, 0::BIGINT AS dehyphenation_count, coalesce(cc, 0) AS cross_column_edges, coalesce(cp, 0) AS cross_page_edges, coalesce(sc, 0) AS same_column_edges, 0::BIGINT AS ocr_line_edges FROM s LEFT JOIN b USING (doc_id)""",
+    "ocr_summary": f"""WITH {_IR}, p AS (SELECT doc_id, page_no, sum(length(regexp_replace(source_text, '\\s', '', 'g'))) AS ch FROM r GROUP BY ALL),
+a AS (SELECT *, CASE WHEN page_no % 2 = 1 THEN 'keep_native' WHEN ch >= 40 AND doc_id % 2 <> 0 THEN 'use_ocr' ELSE 'review' END AS a FROM p)
+SELECT doc_id, count(*) AS pages, count(*) FILTER (a = 'keep_native') AS keep_native, 0::BIGINT AS run_ocr, count(*) FILTER (a = 'use_ocr') AS use_ocr, 0::BIGINT AS use_mixed, count(*) FILTER (a = 'review') AS review, 0::BIGINT AS skip_blank, coalesce(string_agg(CASE WHEN a = 'review' THEN page_no END, ',' ORDER BY page_no), '') AS blocking_pages FROM a GROUP BY doc_id""",
+    "titles": f"""WITH {_IR}, body AS (SELECT doc_id, page_no, coalesce(median(font_size) FILTER (x1 - x0 >= 132), 0) AS body FROM r GROUP BY ALL),
+s AS (SELECT doc_id, region_ord, trim(regexp_replace(source_text, '\\s+', ' ', 'g')) AS t, 4 * font_size / (CASE WHEN body > 0 THEN body ELSE 10 END) + least(1, (x1 - x0) / 600) + 1 - least(1, y0 / 384) AS score FROM r JOIN body USING (doc_id, page_no) WHERE page_no = 1 AND y0 <= 384 AND (body <= 0 OR font_size >= greatest(11, 1.18 * body)))
+SELECT doc_id, arg_max(t, (round(score, 9), -region_ord)) AS title FROM s WHERE length(t) BETWEEN 5 AND 600 AND regexp_matches(t, '\\p{{L}}') AND NOT regexp_matches(lower(t), '^(?:arxiv:|doi:|https?://)') AND NOT contains(t, '@') AND lower(t) NOT IN ('abstract', 'introduction', 'references') GROUP BY doc_id""",
     "lexicon": f"WITH {_IR}, w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(source_text, '[A-Za-z][A-Za-z-]{{2,}}'))) AS w FROM r) SELECT doc_id, count(*) AS words FROM w WHERE NOT contains(w, '-') GROUP BY doc_id",
-    "contexts": f"WITH {_TURNS}, w AS (SELECT *, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY flow_ord ROWS UNBOUNDED PRECEDING) AS section_title, lag(text) OVER (PARTITION BY doc_id ORDER BY flow_ord) AS p, lead(text) OVER (PARTITION BY doc_id ORDER BY flow_ord) AS n FROM t) "
-    f"SELECT doc_id, flow_ord, section_title, {_CLIP.format('p')} AS previous, {_CLIP.format('n')} AS next, (coalesce(length(p) > 600, false)::INT + coalesce(length(n) > 600, false)::INT) AS clipped FROM w",
+    "contexts": f"WITH {_TURNS}, {_AROUND} SELECT doc_id, flow_ord, {_CLIP.format('h.t')} AS section_title, {_CLIP.format('p.t')} AS previous, {_CLIP.format('n.t')} AS next, (coalesce(length(h.t) > 600, false)::INT + coalesce(length(p.t) > 600, false)::INT + coalesce(length(n.t) > 600, false)::INT) AS clipped FROM w",
     "glossary_hits": f"WITH {_TURNS}, g AS (SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{{3,}})', 1)) AS s FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{{3,}}')) "
     "SELECT doc_id, flow_ord, count(s)::INT AS hits, coalesce(string_agg(s, ',' ORDER BY s), '') AS terms FROM t LEFT JOIN g ON contains(lower(text), s) GROUP BY doc_id, flow_ord",
-    "context_stats": f"WITH {_TURNS}, w AS (SELECT *, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY flow_ord ROWS UNBOUNDED PRECEDING) AS h, lag(text) OVER (PARTITION BY doc_id ORDER BY flow_ord) AS p, lead(text) OVER (PARTITION BY doc_id ORDER BY flow_ord) AS n FROM t) "
-    "SELECT doc_id, count(*) AS flows, count(h) AS section_title_count, count(p) AS previous_count, count(n) AS next_count, sum(coalesce(length(p) > 600, false)::INT + coalesce(length(n) > 600, false)::INT)::BIGINT AS clipped_neighbor_count, 0::BIGINT AS glossary_hits FROM w GROUP BY doc_id",
+    "context_stats": f"WITH {_TURNS}, {_AROUND}, c AS (SELECT doc_id, count(DISTINCT o) AS cut FROM (SELECT doc_id, p.o AS o FROM w WHERE length(p.t) > 600 UNION ALL SELECT doc_id, n.o FROM w WHERE length(n.t) > 600) GROUP BY doc_id) "
+    "SELECT doc_id, count(*) AS flows, count(h.t) AS section_title_count, count(p.t) AS previous_count, count(n.t) AS next_count, 0::BIGINT AS glossary_term_count, count(DISTINCT CASE WHEN length(h.t) > 600 THEN h.o END) AS clipped_heading_count, coalesce(any_value(c.cut), 0)::BIGINT AS clipped_neighbor_count FROM w LEFT JOIN c USING (doc_id) GROUP BY doc_id",
     "protected_counts": r"""WITH d AS (SELECT doc_id, text || ' see [' || doc_id::VARCHAR || '] at www.example.org/a' AS t FROM documents)
 SELECT doc_id, len(regexp_extract_all(coalesce(t, ''), '\$[^$\n]{1,200}\$'))::BIGINT AS latex, len(regexp_extract_all(coalesce(t, ''), '(?i)\[(?:\s*\d+[a-z]?\s*(?:[-,;]\s*\d+[a-z]?\s*)*)\]'))::BIGINT AS citation, len(regexp_extract_all(coalesce(t, ''), '(?i)(?:https?://|www\.)[^\s<>\[\]{}]+'))::BIGINT AS url FROM d""",
     "placeholder_issues": """WITH d AS (SELECT doc_id, ['⟦PT' || lpad((doc_id % 7)::VARCHAR, 4, '0') || '⟧', '⟦PT' || lpad((doc_id * 3 % 7)::VARCHAR, 4, '0') || '⟧', '⟦PT' || lpad((n_chars % 7)::VARCHAR, 4, '0') || '⟧'] AS f, ['⟦PT0001⟧', '⟦PT0002⟧', '⟦PT0003⟧'] AS e FROM documents)
@@ -334,6 +380,10 @@ SELECT l_returnflag, l_linestatus, min(size) AS lower_median FROM c WHERE 2 * so
     "job_states": """SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'review' END AS state
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""",
     "events_by_window": "SELECT (epoch(ts)::BIGINT // 3600 * 3600)::BIGINT AS start_s, event_type, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS ts, event_type FROM events) GROUP BY ALL",
+    "job_transitions": """WITH s AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 4 ELSE 3 END AS k FROM events),
+b AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM s) SELECT user_id, event_id, (['queued', 'running', 'completed', 'review', 'failed'])[p + 1] AS before, (['queued', 'running', 'completed', 'review', 'failed'])[k + 1] AS state, p < 2 AND k > p AS allowed FROM b WHERE p <> k""",
+    "settled_events": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER u < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n, arg_max(event_type, (ts, event_id)) AS event_type FROM s GROUP BY user_id, k""",
     "character_errors": "SELECT a.item_id AS doc_id, levenshtein(a.text, b.text)::BIGINT AS edits, length(b.text)::BIGINT AS truth_chars, length(a.text)::BIGINT AS chars FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) a JOIN (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) b ON b.item_id = a.item_id + 1",
     "box_collisions": f"WITH {_IR}, {_WIDE} SELECT a.doc_id, a.page_no, count(c.region_ord) AS collisions FROM b a LEFT JOIN b c ON a.doc_id = c.doc_id AND a.page_no = c.page_no AND c.region_ord > a.region_ord AND a.x0 < c.x1 AND a.x1 > c.x0 AND a.y0 < c.y1 AND a.y1 > c.y0 GROUP BY a.doc_id, a.page_no",
     "plain_urls": r"SELECT page_id, coalesce(regexp_matches(url, '^(?i:https?)://(?:[A-Za-z0-9](?:[A-Za-z0-9\-.]*[A-Za-z0-9])?|\[[0-9A-Fa-f:.]+\])(?::[0-9]{1,5})?(?:/[^\s?#@\x00-\x1f\x7f]*)?$'), false) AS plain FROM pages",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import latest
@@ -25,17 +25,50 @@ def job_states(events: DataFrame) -> DataFrame:
     return latest(rows, "user_id", F.col("ts"), F.col("event_id"))
 
 
-def run_job_states(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's last states below path; a batch that is repeated overwrites its own folder, so states are exact."""
+def run_job_states(events: DataFrame, path: str, checkpoint: str, compact: int = 16) -> StreamingQuery:
+    """Write each batch's last states below path/batch; a batch that is repeated overwrites its own folder, so states are exact.
+
+    Every compact-th batch writes all current states below path/base besides,
+    so readers need one base and the few batches after it.
+    """
 
     def save(batch: DataFrame, n: int) -> None:
-        job_states(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        job_states(batch).write.mode("overwrite").parquet(f"{path}/batch/n={n}")
+        if n % compact == compact - 1:
+            current_states(batch.sparkSession, path, upto=n).write.mode("overwrite").parquet(f"{path}/base/n={n}")
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_states(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.parquet(path).drop("batch"), "user_id", F.col("ts"), F.col("event_id"))
+def current_states(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The last state of each task, of the last base and the batches after it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/base")
+    done = [-1]
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(at):
+        names = [x.getPath().getName() for x in files.listStatus(at)]
+        done += [n for n in (int(x[2:]) for x in names if x.startswith("n=")) if files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/base/n={n}/_SUCCESS")) and (upto is None or n < upto)]
+    last = max(done)
+    rows = spark.read.parquet(f"{path}/batch").where(F.col("n") > last)
+    rows = (rows if upto is None else rows.where(F.col("n") <= upto)).drop("n")
+    if last >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{path}/base/n={last}"))
+    return latest(rows, "user_id", F.col("ts"), F.col("event_id"))
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, before, state, allowed): each change of a task's state, and whether it may happen."""
+    rows = events.select("user_id", "event_id", "ts", state_of(F.col("event_type")).alias("state"))
+    rows = rows.withColumn("before", F.lag("state").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    place = lambda c: F.array_position(F.array(*map(F.lit, STATES)), c)
+    ends = F.col("before").isin("completed", "review", "failed")
+    return rows.where("before IS NOT NULL AND before <> state").select("user_id", "event_id", "before", "state", (~ends & (place(F.col("state")) > place(F.col("before")))).alias("allowed"))
+
+
+def settled(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """The last event of each burst: events of a user that follow each other within a gap; a stream gives it once the watermark has passed."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("burst"), "user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
 
 
 def events_by_window(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
