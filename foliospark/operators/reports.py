@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G, text as X
@@ -69,8 +70,6 @@ def round_trip(source: DataFrame, output: DataFrame) -> DataFrame:
     samples: the grey values of a page as binary; a difference over 8 counts as
     changed. They are compared in Arrow batches, a page at a time.
     """
-    import pandas as pd
-
     def gap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         import numpy as np
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, text as X
-from ..operators import recognition as R, replies as RP, reports as RE, structure as S, tasks as T, translate as TR
+from ..operators import providers as PR, recognition as R, replies as RP, reports as RE, spans as SP, structure as S, tasks as T, translate as TR
 from ..sources import ir
 
 
@@ -322,11 +322,46 @@ def unreferenced_files(spark, sf_dir):
     return unreferenced(files, kept).select("path")
 
 
+def _blocks(spark, sf_dir) -> DataFrame:
+    """A block for each document: its lines, and their words as spans of sizes by length."""
+    words = lambda line: F.transform(F.split(line, " "), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), F.concat(F.lit("f"), F.length(w) % 3).alias("font"), (F.length(w) % 5 + 8).cast("double").alias("size"), (F.length(w) % 2 * 16).alias("flags"), F.lit(0).alias("color")))
+    rows = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.select("doc_id", F.lit(1).alias("page_no"), F.transform(F.split(F.regexp_replace("text", r"[^ -~\n]", ""), "\n"), lambda x: F.struct(words(x).alias("spans"))).alias("lines"))
+
+
+def block_styles(spark, sf_dir):
+    rows = _blocks(spark, sf_dir)
+    out = rows.select("doc_id", F.md5(SP.block_text(F.col("lines")).cast("binary")).alias("text_md5"), F.size(SP.drawn(F.col("lines"))).alias("spans"), SP.block_style(F.col("lines")).alias("s"))
+    return out.join(SP.body_sizes(rows).select("doc_id", "body_size"), "doc_id").select("doc_id", "text_md5", "spans", "s.font", "s.size", "s.flags", "s.largest", "body_size")
+
+
+def visual_lines(spark, sf_dir):
+    rows = regions(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.collect_list(F.when(F.col("region_ord") % 4 != 0, (F.col("y0") + F.col("y1")) / 2)).alias("centres"), F.max("font_size").alias("font"), F.max("y1").alias("h"))
+    return rows.select("doc_id", "page_no", SP.visual_lines(F.col("centres"), F.col("font"), F.col("h")).alias("lines"))
+
+
+def request_checks(spark, sf_dir):
+    n = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents")
+    mode, provider, url = chosen(["standalone_text", "selected_text", "other"], n), chosen(["mock", "kimi", "compatible", "nobody"], n), chosen(["https://a.example/v1", "", "ftp://x"], F.floor(n / 4))
+    return rows.select("doc_id", PR.request_problem(F.col("text"), mode, provider, F.floor(n / 3) % 2 == 0, url, F.lit("m"), F.lit("en"), chosen(["de", " "], F.floor(n / 7))).alias("problem"))
+
+
+def round_trip_gates(spark, sf_dir):
+    """Pages of documents against themselves, less a page, with a text changed, or with another size."""
+    rows = regions(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.min_by("source_text", "region_ord").alias("text"), F.lit(600.0).alias("width"), F.lit(1).alias("links"))
+    rows = rows.withColumns({"height": F.lit(800.0), "samples": F.col("text").cast("binary")})
+    k = F.col("doc_id") % 5
+    out = rows.where((k != 1) | (F.col("page_no") < 2)).withColumns({"text": F.when(k == 2, "zzzzzzzz").otherwise(F.col("text")), "height": F.when(k == 3, 801.0).otherwise(800.0)})
+    got = PR.round_trip_gates(RE.round_trip(rows, out), rows.where(k == 4).select("doc_id"))
+    return got.select("doc_id", "source_page_count", "output_page_count", "passed", F.array_join("failed", ",").alias("failed"), "mean_changed_fraction")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         reply_parsing, model_ids, endpoints, configurations, clean_fields, languages, chat_messages, safe_messages, task_list, task_details, task_titles, retained_paths, public_reports, recognised_regions, recognition_runs,
         text_heavy_pages, image_candidates, redactions, protection_stats, flow_fonts, layout_stats, font_styles, font_counts, paired_pages, inspection_reports, page_windows, paragraph_hits, selections, glossary_problems,
-        base_types, page_texts, cached_translations, unreferenced_files,
+        base_types, page_texts, cached_translations, unreferenced_files, block_styles, visual_lines, request_checks, round_trip_gates,
     )
 }

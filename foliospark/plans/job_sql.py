@@ -119,6 +119,20 @@ SELECT p.rule, p.n::BIGINT AS count FROM p WHERE p.n > 0""",
 SELECT doc_id, page_no, region_ord, CASE WHEN regexp_matches(trim(t), '^[0-9]+$') AND y0 >= 656 THEN 'page_number' WHEN y1 <= 64 THEN 'header' WHEN y0 >= 736 THEN 'footer' WHEN s >= 13.5 AND y0 <= 360 THEN 'title' WHEN s >= 11.5 THEN 'heading' ELSE 'paragraph' END AS type FROM b""",
     "page_texts": f"""WITH {_IR}, t AS (SELECT *, CASE WHEN region_ord % 5 <> 0 THEN region_ord % 17 END AS o, regexp_replace(source_text, '[^ -~]', '', 'g') AS t FROM r)
 SELECT doc_id, page_no, md5(trim(regexp_replace(string_agg(t, ' ' ORDER BY o IS NULL, o, y0, x0, region_ord), '\\s+', ' ', 'g'))) AS text_md5 FROM t WHERE t <> '' GROUP BY ALL""",
+    "block_styles": """WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '[^ -~\n]', '', 'g'), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT *, flatten(list_transform(l, lambda x: string_split(x, ' '))) AS w FROM d),
+b AS (SELECT *, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS b FROM w)
+SELECT doc_id, md5(array_to_string(list_filter(list_transform(l, lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS text_md5, len(w)::INT AS spans, 'f' || length(b) % 3 AS font, (length(b) % 5 + 8)::DOUBLE AS size, (length(b) % 2 * 16)::INT AS flags,
+  list_max(list_transform(w, lambda x: length(x) % 5 + 8))::DOUBLE AS largest, list_median(list_transform(w, lambda x: length(x) % 5 + 8))::DOUBLE AS body_size FROM b""",
+    "visual_lines": f"""WITH {_IR}, c AS (SELECT *, (y0 + y1) / 2 AS m, max(font_size) OVER (PARTITION BY doc_id, page_no) AS f, max(y1) OVER (PARTITION BY doc_id, page_no) AS h FROM r),
+s AS (SELECT *, m - lag(m) OVER (PARTITION BY doc_id, page_no ORDER BY m) AS step FROM c WHERE region_ord % 4 <> 0), n AS (SELECT doc_id, page_no, 1 + count(*) FILTER (step > greatest(1, 0.35 * f)) AS n FROM s GROUP BY ALL)
+SELECT doc_id, page_no, coalesce(any_value(n.n), greatest(1, round_even(max(h) / max(f), 0)))::INT AS lines FROM c LEFT JOIN n USING (doc_id, page_no) GROUP BY ALL""",
+    "request_checks": """WITH d AS (SELECT doc_id, text, doc_id % 3 AS m, doc_id % 4 AS p, (doc_id // 4) % 3 AS u, (doc_id // 3) % 2 = 0 AS k, (doc_id // 7) % 2 = 1 AS blank FROM documents)
+SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN length(text) > 20000 THEN 'text_too_long' WHEN m = 1 AND length(text) > 300 THEN 'selection_too_long' WHEN m = 2 OR m IS NULL THEN 'unknown_mode' WHEN p = 3 THEN 'unknown_provider' WHEN p <> 0 AND NOT k THEN 'missing_key'
+  WHEN p = 2 AND u = 1 THEN 'missing_address_or_model' WHEN p = 2 AND u = 2 THEN 'bad_address' WHEN blank THEN 'missing_language' END AS problem FROM d""",
+    "round_trip_gates": f"""WITH {_IR}, p AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM r GROUP BY doc_id)
+SELECT doc_id, n AS source_page_count, CASE WHEN doc_id % 5 = 1 THEN 1 ELSE n END AS output_page_count, NOT ((doc_id % 5 = 1 AND n > 1) OR doc_id % 5 > 1) AS passed,
+  CASE doc_id % 5 WHEN 1 THEN CASE WHEN n > 1 THEN 'same_page_count,links_preserved' ELSE '' END WHEN 2 THEN 'text_similarity_at_least_0_98' WHEN 3 THEN 'same_page_dimensions' WHEN 4 THEN 'no_skipped_regions' ELSE '' END AS failed, 0.0::DOUBLE AS mean_changed_fraction FROM p""",
     "cached_translations": "SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents c WHERE c.source = 'src0' AND coalesce(c.text, '') = coalesce(d.text, '')) THEN 'from cache' ELSE length(coalesce(text, ''))::VARCHAR END AS normal FROM documents d",
     "unreferenced_files": """WITH f AS (SELECT '/up/' || doc_id % 50 || '/' || doc_id % 7 || '/' || doc_id AS path, '/up/' || doc_id % 50 || '/' || doc_id % 7 AS up FROM documents WHERE doc_id IS NOT NULL) SELECT path FROM f WHERE up NOT IN (SELECT '/up/' || c_custkey % 90 || '/' || c_custkey % 3 FROM customer)""",
 }

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
-from foliospark.operators import recognition as R, reports as RE, tasks as T, translate as TR
+from foliospark.operators import providers as PR, recognition as R, reports as RE, tasks as T, translate as TR
 from foliospark.plans import job_queries, job_sql, queries
 from foliospark.sources import ir, sinks
 from foliospark.streaming import jobs as J
@@ -126,6 +126,32 @@ def test_mixed_currencies_are_an_error(spark):
         TR.usage(calls, ["job"]).collect()
 
 
+def test_a_failed_run_keeps_what_was_done(spark, tmp_path):
+    asked = spark.createDataFrame([(f"{k:02x}" + "0" * 62, f"text {k}") for k in range(20)], "cache_key string, text string")
+    broken = str(tmp_path / "broken")
+
+    def failing():
+        made = PR.maker("mock")()
+
+        def call(batch):
+            if os.path.exists(broken) and batch["text"].str.endswith(" 7").any():
+                raise RuntimeError("down")
+            return made(batch)
+
+        return call
+
+    open(broken, "w").close()
+    with pytest.raises(Exception, match="down"):
+        PR.translate_in_batches(spark, asked, f"{tmp_path}/cache", failing, 4).collect()
+    os.remove(broken)
+    before = sinks.read_cache(spark, f"{tmp_path}/cache")[0].count() if os.path.exists(f"{tmp_path}/cache") else 0
+    assert PR.translate_in_batches(spark, asked, f"{tmp_path}/cache", failing, 4).where("normal IS NOT NULL").count() == 20 and before < 20
+    with pytest.raises(ValueError, match="unknown"):
+        PR.maker("nobody")
+    with pytest.raises(ValueError, match="no client"):
+        PR.maker("kimi")
+
+
 def test_empty_tables(spark):
     none = ir.regions_from_documents(spark.createDataFrame([], "doc_id long, text string"))
     assert R.image_candidates(none).count() == 0 and RE.paired_pages(none.select("doc_id", "page_no", F.col("source_text").alias("text")), none.select("doc_id", "page_no", F.col("source_text").alias("text"))).count() == 0
