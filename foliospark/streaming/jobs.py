@@ -68,9 +68,14 @@ def transitions(events: DataFrame) -> DataFrame:
 
 def settled(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """The last event of each burst: events of a user that follow each other within a gap; a stream gives it once the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("burst"), "user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    return with_time(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("burst"), "user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+
+
+def with_time(events: DataFrame) -> DataFrame:
+    """Watermarks need times with a zone; those without one are in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def events_by_window(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events of each type in windows of event time; rows later than the watermark are left out by a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return with_time(events).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
