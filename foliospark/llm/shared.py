@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,18 +39,55 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> tuple[DataFrame, str]:
+_open: list[list[str]] = []  # tables written in each scratch() that is at work
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written() inside are deleted at the end, but for those to keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_path(spark, path)
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None, keep: bool = False) -> tuple[DataFrame, str]:
     """Write df as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    keep: for results that outlive the scratch() around.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of rows that are broadcast at most; beyond it, joins shuffle.
+FEW_BYTES = 64 << 20
+
+
+def few(df: DataFrame, most: int = FEW_BYTES) -> DataFrame:
+    """A written table of fixed-width columns, to be broadcast if its counted rows, at 16 bytes and 8 a column, are few bytes."""
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= most else df
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind them as long as a column of `taken` has the same one, in any case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

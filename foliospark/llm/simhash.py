@@ -16,9 +16,8 @@ Equal fingerprints are one node. A bucket's links leave a task as a spanning
 star, so their number stays below the bucket's rows, and buckets over
 BUCKET_ROWS are dealt out as pairs of chunks.
 
-Where texts also have to be alike, a link needs a Jaccard similarity of their
-shingle sets besides, measured on BINS one-permutation minima that travel with
-the fingerprint.
+simhash_sets has the form for texts that have to be alike by the similarity of
+their shingle sets.
 
 Defined cases: null and empty texts have fingerprint zero, which is linked
 like any other; fewer words than a shingle make one shingle; a null doc_id
@@ -34,11 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import components, star_forest, table, written
+from .shared import components, few, scratch, star_forest, table, written
 
 SAMPLE = 2048  # fingerprints that the plan is estimated on
 BUCKET_ROWS = 4096
-BINS = 128  # minima of a sketch, a byte each; 0 is an empty bin
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -67,34 +65,15 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(found)).ravel(), bitorder="little").view("<u8")[0])
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """A byte of the least hash in each of BINS ranges of hashes."""
-    out = np.zeros(BINS, np.uint8)
-    if len(found):
-        found = np.sort(found)
-        bins, first = np.unique(found >> np.uint64(57), return_index=True)
-        out[bins.astype(np.int64)] = 1 + found[first] % np.uint64(255)
-    return out.tobytes()
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of the sketches in the rows of a and b; 1 if both are empty."""
-    used = ((a != 0) | (b != 0)).sum(1)
-    return np.where(used == 0, 1.0, ((a == b) & (a != 0)).sum(1) / np.maximum(used, 1))
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, with_sketch: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) and, if asked for, sketch: fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches):
         for b in batches:
             found = [hashes(words_of(x), shingle) for x in b.column(1).to_pylist()]
-            cols = [b.column(0), pa.array(np.array([fingerprint(x) for x in found], np.uint64).view(np.int64))]
-            if with_sketch:
-                cols.append(pa.array([sketch(x) for x in found], pa.binary()))
-            yield pa.record_batch(cols, ["doc_id", "fp", "sketch"][: len(cols)])
+            yield pa.record_batch([b.column(0), pa.array(np.array([fingerprint(x) for x in found], np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long" + ", sketch binary" * with_sketch)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def ball(width: int, t: int) -> int:
@@ -168,7 +147,6 @@ def flips(bits: list[int], t: int) -> list[int]:
 def signatures(nodes: DataFrame, probes: list[tuple[int, int, list[int]]]) -> DataFrame:
     """(part, key, fp, node): each fingerprint under each value that it probes."""
     masks = [(i, m, flips(bits, t)) for i, (m, t, bits) in enumerate(probes)]
-    more = ["sketch"] if "sketch" in nodes.columns else []
 
     def run(batches):
         for b in batches:
@@ -176,35 +154,35 @@ def signatures(nodes: DataFrame, probes: list[tuple[int, int, list[int]]]) -> Da
             for i, mask, flip in masks:
                 for f in flip:
                     key = ((fp ^ np.uint64(f)) & np.uint64(mask)).view(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(fp), i, np.int32)), pa.array(key), pa.array(fp.view(np.int64)), pa.array(node), *(b.column(x) for x in more)], ["part", "key", "fp", "node", *more])
+                    yield pa.record_batch([pa.array(np.full(len(fp), i, np.int32)), pa.array(key), pa.array(fp.view(np.int64)), pa.array(node)], ["part", "key", "fp", "node"])
 
-    return nodes.select("fp", "node", *more).mapInArrow(run, "part int, key long, fp long, node long" + ", sketch binary" * len(more))
+    return nodes.select("fp", "node").mapInArrow(run, "part int, key long, fp long, node long")
 
 
 def dealt(rows: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
     """Add i and j (ints) so that groups of (*keys, i, j) are of bounded size and any two rows with equal keys meet in one.
 
-    Groups of up to `most` rows get (0, 0); larger ones are cut into c chunks
+    Without a group over `most` rows, rows stay as they are. Groups of up to `most` rows get (0, 0); larger ones are cut into c chunks
     by a hash, and each row goes to the c chunk pairs that hold its chunk.
     """
-    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    cut = rows.join(large, keys, "left").withColumn("c", F.ceil(F.coalesce("n", F.lit(1)) / most).cast("int"))
+    large, _ = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
+    if large.isEmpty():
+        return rows
+    cut = rows.join(few(large), keys, "left").withColumn("c", F.ceil(F.coalesce("n", F.lit(1)) / most).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64(by), F.col("c")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     return cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "c", "own", "other")
 
 
-def links_in_runs(batches, keys: list[str], k: int, similarity: float | None = None):
+def links_in_runs(batches, keys: list[str], k: int):
     """Arrow batches sorted by keys -> spanning stars (a, b) of the links between rows of equal keys."""
 
-    def links(fp, node, sketches, run):
+    def links(fp, node, run):
         a, b, held = [], [], 0
         s, at = 1, np.arange(len(fp) - 1) if len(fp) > 1 else np.zeros(0, np.int64)
         at = at[run[at] == run[at + 1]] if len(at) else at
         while len(at):
             near = at[np.bitwise_count(fp[at] ^ fp[at + s]) <= k]
-            if similarity is not None:
-                near = np.concatenate([x[alike(sketches[x], sketches[x + s]) >= similarity] for x in np.array_split(near, 1 + len(near) // 65536)])
             if len(near):
                 a.append(node[near])
                 b.append(node[near + s])
@@ -223,7 +201,6 @@ def links_in_runs(batches, keys: list[str], k: int, similarity: float | None = N
     rest = None
     for b in batches:
         got = [np.asarray(b.column(x)) for x in (*keys, "fp", "node")]
-        got.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if similarity is not None else np.zeros((b.num_rows, 0), np.uint8))
         rest = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
         if not len(rest[0]):
             continue
@@ -232,33 +209,33 @@ def links_in_runs(batches, keys: list[str], k: int, similarity: float | None = N
             new[1:] |= x[1:] != x[:-1]
         last = int(np.flatnonzero(new)[-1]) if new.any() else 0  # the last run may go on
         if last:
-            out = links(rest[-3][:last].view(np.uint64), rest[-2][:last], rest[-1][:last], new[:last].cumsum())
+            out = links(rest[-2][:last].view(np.uint64), rest[-1][:last], new[:last].cumsum())
             if out is not None:
                 yield out
             rest = [x[last:] for x in rest]
     if rest is not None and len(rest[0]):
-        out = links(rest[-3].view(np.uint64), rest[-2], rest[-1], np.zeros(len(rest[0]), np.int64))
+        out = links(rest[-2].view(np.uint64), rest[-1], np.zeros(len(rest[0]), np.int64))
         if out is not None:
             yield out
 
 
-def fingerprint_links(nodes: DataFrame, k: int, similarity: float | None = None) -> DataFrame:
-    """Spanning links (a, b) of the node ids whose fingerprints differ in at most k bits. nodes: written (fp, node) and, for a similarity, sketch; fp unique."""
+def fingerprint_links(nodes: DataFrame, k: int) -> DataFrame:
+    """Spanning links (a, b) of the node ids whose fingerprints differ in at most k bits. nodes: written (fp, node); fp unique."""
     n = nodes.count()
     sample = np.array([x["fp"] for x in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    keys = ["part", "key", "i", "j"]
-    rows = dealt(signatures(nodes, plan(sample, n, k, 20.0 if similarity is None else 200.0)), ["part", "key"], "fp", BUCKET_ROWS)
+    rows = dealt(signatures(nodes, plan(sample, n, k)), ["part", "key"], "fp", BUCKET_ROWS)
+    keys = [c for c in ("part", "key", "i", "j") if c in rows.columns]
     spread = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(lambda batches: links_in_runs(batches, keys, k, similarity), "a long, b long")
+    return spread.mapInArrow(lambda batches: links_in_runs(batches, keys, k), "a long, b long")
 
 
-def near_duplicates(fps: DataFrame, k: int = 3, similarity: float | None = None) -> DataFrame:
-    """fps (a written table of doc_id, fp and, for a similarity, sketch) with component_id."""
-    more = [F.min("sketch").alias("sketch")] if similarity is not None else []
-    nodes, _ = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), *more).where("node IS NOT NULL"), "nodes")
-    parts = components(fingerprint_links(nodes, k, similarity))
-    of = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp", "left")
+def near_duplicates(fps: DataFrame, k: int = 3) -> DataFrame:
+    """fps (a written table of doc_id, fp) with component_id."""
+    with scratch(fps.sparkSession):
+        nodes, _ = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "nodes")
+        parts = components(fingerprint_links(nodes, k))
+        of, _ = written(nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "of", keep=True)
+    return fps.join(few(of), "fp", "left")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
