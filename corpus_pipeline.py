@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliospark.llm import line_dedup, packing, quality_classifier, set_dedup, source_mixing, tokens
+from foliospark.llm import line_dedup, packing, quality_classifier, simhash_sets, source_mixing, tokens
 from foliospark.llm.shared import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each group of near-duplicates; null ids come last."""
-    return set_dedup.first_of_each(docs.select(*COLUMNS), SHINGLE, SIMILARITY)
+    """The first document, by id, of each group of near-duplicates by SimHash candidates and whole shingle sets; null ids come last."""
+    return simhash_sets.first_of_each(docs.select(*COLUMNS), SHINGLE, SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
