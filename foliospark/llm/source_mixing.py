@@ -11,13 +11,19 @@ floor(fraction * g) times, and once more with the probability of the rest.
 Draws are a hash of the document's id, the same on every run.
 
 DataFrame functions only. Only cells are iterated on; each sweep is written
-and read again, so plans stay short and a lost executor costs one reread.
+and read again, so plans stay short and a lost executor costs one reread. A
+category's sum is aggregated with partial results. Where a dimension has at
+most FEW categories, by count, their factors are literals of the next step;
+else a window over the cells of a category, as many as combinations of the
+other dimensions, gives the sum. So no hot category gathers cells in a task.
 
 Defined cases: null source, language and topic are the category `none`; a
 document without a token has probability 0; targets are relative, for the
 categories that occur, and a category that isn't named has the dimension's
 default; a null doc_id draws as the empty string; rows of one doc_id are kept
-or left together; an empty table gives no rows; other columns are passed on.
+or left together; an empty table gives no rows; other columns are passed on,
+whatever their names, but for topic if it isn't given, tokens, probability,
+sample_weight and kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import drop_path, table, written
+from .shared import drop_path, few, fresh, table, written
 
 NONE = "none"
 SWEEPS = 8
+FEW = 500
 
 
 @dataclass(frozen=True)
@@ -74,20 +81,23 @@ def draw(id_: Column) -> Column:
 
 
 def rake(cells: DataFrame, targets: dict[str, Targets], sweeps: int = SWEEPS) -> DataFrame:
-    """cells (the dimensions, tokens) with g, the calibration.
-
-    A category's sum is a window over its cells, which are combinations of
-    categories, not documents; so a scaling is one shuffle of cells, without a join.
-    """
+    """cells (the dimensions, tokens) with g, the calibration."""
+    spark = cells.sparkSession
     now, path = written(cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double")), "cells")
     tokens = now.agg(F.sum("tokens")).first()[0] or 0
     totals = {x: now.select(x).distinct().agg(F.sum(t.column(F.col(x)))).first()[0] or 1.0 for x, t in targets.items()}
+    many = {x: now.select(x).distinct().limit(FEW + 1).count() > FEW for x in targets}
     for _ in range(sweeps):
         for name, target in targets.items():
             share = target.column(F.col(name)) / F.lit(float(totals[name]))
-            now = now.withColumn("w", F.col("w") * (share / F.sum("w").over(Window.partitionBy(name))))
+            if many[name]:
+                now = now.withColumn("w", F.col("w") * (share / F.sum("w").over(Window.partitionBy(name))))
+                continue
+            sums = now.groupBy(name).agg(F.sum("w").alias("w")).select(name, (share / F.col("w")).alias("f")).collect()  # at most FEW rows
+            factors = F.create_map(*[F.lit(x) for r in sums for x in (r[name], float(r["f"]))]) if sums else F.create_map()
+            now = now.withColumn("w", F.col("w") * factors[F.col(name)]) if sums else now
         now, new = written(now, "cells")
-        drop_path(cells.sparkSession, path)
+        drop_path(spark, path)
         path = new
     # the weights sum to one, as the last targets do
     return now.withColumn("g", F.col("w") * F.lit(float(tokens)) / F.col("tokens")).drop("w")
@@ -97,13 +107,19 @@ def mix(docs: DataFrame, targets: dict[str, Targets] | None = None, fraction: fl
     """docs with topic, tokens, probability, sample_weight and kept."""
     targets = targets or TARGETS
     added = ["tokens", "probability", "sample_weight", "kept"]
-    dims = {f"_{x}": F.coalesce(topic(F.col(text_col)) if x == "topic" and "topic" not in docs.columns else F.col(x).cast("string"), F.lit(NONE)) for x in targets}
-    rows = docs.drop(*added).withColumns({**dims, "tokens": token_count(F.col(text_col))})
+    plain = docs.drop(*added)
+    made = "topic" in targets and "topic" not in docs.columns
+    names = dict(zip(targets, fresh([*plain.columns, *added, "topic", "g", "w"], *(f"_{x}" for x in targets)), strict=True))
+    g = fresh([*plain.columns, *added, "topic", *names.values()], "g")[0]
+    dims = {names[x]: F.coalesce(topic(F.col(text_col)) if x == "topic" and made else F.col(x).cast("string"), F.lit(NONE)) for x in targets}
+    rows = plain.withColumns({**dims, "tokens": token_count(F.col(text_col))})
     cells = rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
-    raked = rake(cells, {f"_{x}": t for x, t in targets.items()}).drop("tokens")
-    share = F.when(F.col("tokens") > 0, fraction * F.coalesce("g", F.lit(0.0))).otherwise(F.lit(0.0))
-    out = rows.join(raked, [*dims], "left").withColumn("probability", F.least(F.lit(1.0), share)).withColumn("sample_weight", F.greatest(F.lit(1.0), share))
-    return out.withColumn("kept", draw(F.col(id_col)) < F.col("probability")).withColumnRenamed("_topic", "topic" if "topic" not in docs.columns else "_topic").drop("g", *dims)
+    raked, _ = written(rake(cells, {names[x]: t for x, t in targets.items()}).select(*dims, F.col("g").alias(g)), "raked")
+    share = F.when(F.col("tokens") > 0, fraction * F.coalesce(g, F.lit(0.0))).otherwise(F.lit(0.0))
+    out = rows.join(few(raked), [*dims], "left").withColumn("probability", F.least(F.lit(1.0), share)).withColumn("sample_weight", F.greatest(F.lit(1.0), share))
+    out = out.withColumn("kept", draw(F.col(id_col)) < F.col("probability"))
+    kept = [F.col(f"`{x}`") for x in plain.columns] + ([F.col(names["topic"]).alias("topic")] if made else [])
+    return out.select(*kept, *added)
 
 
 def repeated(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -113,7 +129,8 @@ def repeated(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     weight = F.col("probability") * F.col("sample_weight")
     times = F.floor(weight) + (draw(F.col(id_col)) < weight - F.floor(weight)).cast("int")
-    return mixed.where("kept").withColumn("_time", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times).cast("int")))).drop("_time")
+    time = fresh(mixed.columns, "time")[0]
+    return mixed.where("kept").withColumn(time, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), times).cast("int")))).drop(time)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
