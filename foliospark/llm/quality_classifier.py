@@ -8,7 +8,7 @@ the tail probability P(grade >= tail), which selects.
 Features of a whole text: the presence of its words (lower case, signs at the
 ends taken off), and the shares of word shapes (Xx, X!!, |, ...), repeated
 words and repeated lines. Fitting is numpy on the driver, on at most `most`
-rated documents chosen by a hash of their id; features in fewer than LEAST of
+rated documents chosen by a hash of their id, one row of each; features in fewer than LEAST of
 them, or as frequent in the top grade as elsewhere, have no weight.
 
 Defined cases: null and empty texts have no words and are rejected; null
@@ -44,7 +44,7 @@ _RUNS = re.compile(r"(.)\1+")
 def _code(word: str) -> int:
     """A word's hashed feature and shape class in one number."""
     plain = word.strip(_STRIP).lower()
-    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    marks = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     shape = _RUNS.sub(r"\1\1", marks)
     bucket = zlib.crc32(plain.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
     return bucket * SHAPES + zlib.crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES
@@ -73,7 +73,7 @@ class Features:
         dense[:SHAPES] = np.bincount(codes % SHAPES, minlength=SHAPES) / len(words)
         lines = [x for x in text.split("\n") if x.strip()]
         dense[-2] = 1 - len(set(lines)) / len(lines)
-        dense[-1] = max(0.0, 1 - 2 * len(buckets) / len(words)) if len(words) < 200 else max(0.0, 1 - 6 * len(buckets) / len(words))
+        dense[-1] = np.log(len(words) / len(buckets)) / np.log(len(words) + 1)  # words said again, at any length
         return buckets, dense
 
 
@@ -145,7 +145,8 @@ def fit(docs: DataFrame, ratings: DataFrame, most: int = 8000, id_col: str = "do
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], made.fieldNames())
 
     picked = ratings.where(f"`{id_col}` IS NOT NULL AND grade IS NOT NULL").select(F.col(id_col).alias("id"), F.col("grade").cast("long").alias("grade")).groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(most)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "grade", "text")  # picked: at most `most`
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")  # picked: at most `most`
+    found = found.groupBy("id").agg(F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "grade", "text")  # an id's rows may be many
     # as bytes, so that the sample stays small on the driver
     rows = sorted(((r["id"], r["grade"], bytes(r["buckets"]), bytes(r["dense"])) for r in found.mapInArrow(run, made).toLocalIterator()))
     grades = np.array([r[1] for r in rows], np.int64)
