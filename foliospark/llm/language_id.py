@@ -4,8 +4,9 @@ A text's UTF-8 bytes are cut into windows of WINDOW bytes, the last one padded.
 Filters of several widths slide over a window; each filter's maximum goes into
 a softmax layer. A text's language is that of the highest mean log probability
 over all its windows, weighted by their bytes. Training is numpy on the driver,
-on a bounded sample: at most `most` labelled documents, chosen by a hash of
-their id, and WINDOWS windows of each.
+on a bounded sample of rows: at most `most` labelled documents, chosen by a hash
+of their id, with all their windows. A document's windows share one weight, so
+long texts don't outweigh others.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; null
 labels aren't learned from; without any label every text is `und`; repeated
@@ -25,7 +26,6 @@ from .shared import table
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
-WINDOWS = 3
 AT_ONCE = 512
 
 
@@ -76,71 +76,66 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return padded.reshape(n, WINDOW), size
 
 
-def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: int = 8, rate: float = 0.02, batch: int = 64, seed: int = 7) -> Network:
-    """Adam on the weighted cross entropy; a maximum passes its gradient to the place it was found at."""
+def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], share: np.ndarray | None = None, steps: int = 600, rate: float = 0.02, batch: int = 64, seed: int = 7) -> Network:
+    """Adam on the cross entropy of batches drawn by share, alike for each class; a maximum passes its gradient to the place it was found at."""
     rng = np.random.default_rng(seed)
     filters = {w: rng.normal(0, 0.3 / np.sqrt(w), (w, 256, FILTERS)) for w in WIDTHS}
     out = rng.normal(0, 0.1, (FILTERS * len(WIDTHS) + 1, len(classes)))
-    weight = 1 / np.maximum(np.bincount(labels, minlength=len(classes)), 1)
-    weight = weight[labels] / weight[labels].mean()
+    share = np.ones(len(labels)) if share is None else share
+    chance = share / np.bincount(labels, share, len(classes))[labels]
+    chance /= chance.sum()
     params = [*filters.values(), out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for lo in range(0, len(order), batch):
-            at = order[lo : lo + batch]
-            x, y = windows[at].astype(np.int64), labels[at]
-            pooled, where = [], {}
-            for w, f in filters.items():
-                n = x.shape[1] - w + 1
-                total = sum(f[j].take(x[:, j : j + n], 0) for j in range(w))
-                where[w] = total.argmax(1)
-                pooled.append(np.take_along_axis(total, where[w][:, None, :], 1)[:, 0])
-            h = np.concatenate(pooled, 1)
-            d = np.exp(log_softmax(h @ out[:-1] + out[-1]))
-            d[np.arange(len(y)), y] -= 1
-            d *= weight[at, None] / len(at)
-            back = d @ out[:-1].T
-            grads = []
-            for k, (w, f) in enumerate(filters.items()):
-                g = np.zeros_like(f)
-                own = back[:, k * FILTERS : (k + 1) * FILTERS]
-                for j in range(w):
-                    np.add.at(g[j], (np.take_along_axis(x, where[w] + j, 1), np.arange(FILTERS)[None, :]), own)
-                grads.append(g)
-            grads.append(np.concatenate([h.T @ d, d.sum(0, keepdims=True)]))
-            step += 1
-            for p, g, a, b in zip(params, grads, first, second, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+    for step in range(1, steps + 1):
+        at = rng.choice(len(labels), batch, p=chance)
+        x, y = windows[at].astype(np.int64), labels[at]
+        pooled, where = [], {}
+        for w, f in filters.items():
+            n = x.shape[1] - w + 1
+            total = sum(f[j].take(x[:, j : j + n], 0) for j in range(w))
+            where[w] = total.argmax(1)
+            pooled.append(np.take_along_axis(total, where[w][:, None, :], 1)[:, 0])
+        h = np.concatenate(pooled, 1)
+        d = np.exp(log_softmax(h @ out[:-1] + out[-1]))
+        d[np.arange(len(y)), y] -= 1
+        d /= len(at)
+        back = d @ out[:-1].T
+        grads = []
+        for k, (w, f) in enumerate(filters.items()):
+            g = np.zeros_like(f)
+            own = back[:, k * FILTERS : (k + 1) * FILTERS]
+            for j in range(w):
+                np.add.at(g[j], (np.take_along_axis(x, where[w] + j, 1), np.arange(FILTERS)[None, :]), own)
+            grads.append(g)
+        grads.append(np.concatenate([h.T @ d, d.sum(0, keepdims=True)]))
+        for p, g, a, b in zip(params, grads, first, second, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return Network(classes, filters, out)
 
 
-def fit(labelled: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def fit(labelled: DataFrame, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on at most `most` documents with a label, chosen by a hash of their id; None if there are none."""
 
     def cut(batches):
         for b in batches:
-            rows = []
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts, _ = windows_of((text or "\0").encode("utf-8", "surrogatepass"))
-                picked = sorted({len(parts) * (2 * k + 1) // (2 * WINDOWS) for k in range(WINDOWS)})
-                rows += [(parts[i].tobytes(), lang) for i in picked]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["window", "lang"])
+            rows = [(part.tobytes(), lang, 1 / len(parts)) for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for parts in [windows_of((text or "\0").encode("utf-8", "surrogatepass"))[0]] for part in parts]
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["window", "lang", "share"])
 
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
     found = rows.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids), "id", "left_semi")  # ids: at most `most`
-    got = found.select("text", "lang").mapInArrow(cut, "window binary, lang string").toPandas()
+    one = found.groupBy("id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("x"))  # an id's rows may be many
+    got = one.select("x.text", "x.lang").mapInArrow(cut, "window binary, lang string, share double").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["lang", "window"])
+    got = got.sort_values(["lang", "window", "share"])
     classes = sorted(set(got["lang"]))
     windows = np.stack([np.frombuffer(x, np.uint8) for x in got["window"]])
     labels = np.searchsorted(classes, got["lang"])
-    return train(windows, labels, classes)
+    return train(windows, labels, classes, got["share"].to_numpy())
 
 
 def predict(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
