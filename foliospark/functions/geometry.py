@@ -66,6 +66,12 @@ def cut_outs(source: Column, blockers: Column) -> Column:
     return F.aggregate(blockers, F.struct(F.array(source).alias("pieces"), F.lit(0).alias("n")), step, lambda a: a["n"])
 
 
+def rounded_box(values: Column) -> Column:
+    """A box of an array as reports hold it: four finite numbers, to three places; null if it isn't one."""
+    fine = (F.size(values) == 4) & ~F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.when(fine, F.transform(values, lambda v: F.round(v, 3)))
+
+
 def line_box(x0: Column, x1: Column, baseline: Column, size: Column) -> Column:
     """The box that a line of text takes up."""
     return F.struct(x0.alias("x0"), (baseline - 0.95 * size).alias("y0"), x1.alias("x1"), (baseline + 0.15 * size).alias("y1"))

@@ -69,6 +69,24 @@ def summary(decided: DataFrame) -> DataFrame:
     return decided.groupBy("doc_id").agg(F.count("*").alias("pages"), *[F.count_if(F.col("action") == a).alias(a) for a in actions], blocking.alias("blocking_pages"))
 
 
+def with_decisions(regions: DataFrame, decided: DataFrame) -> DataFrame:
+    """regions with their page's action and reason."""
+    return regions.join(decided.select("doc_id", "page_no", "action", "reason"), ["doc_id", "page_no"], "left")
+
+
+def blocked(decided: DataFrame) -> DataFrame:
+    """(doc_id, page_no) of pages that stand against a translation."""
+    return decided.where(F.col("action").isin("run_ocr", "review")).select("doc_id", "page_no")
+
+
+def unblocked(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) to translate; a document with a blocked page is an error, before any provider is called."""
+    bad = blocked(decided).groupBy("doc_id").agg(F.min("page_no").alias("_page"))
+    checked = rows.join(bad, "doc_id", "left")
+    ok = F.when(F.col("_page").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a page has to be recognised or reviewed first: "), F.col("_page").cast("string"))))
+    return checked.where(ok).drop("_page")
+
+
 def without_duplicates(ocr: DataFrame, native: DataFrame) -> DataFrame:
     """OCR lines of which less than half lies on a native region of the page."""
     from ..functions import geometry as G

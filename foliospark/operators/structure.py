@@ -200,6 +200,12 @@ def reading_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).withColumn("reading_order", F.when(F.col("_body"), F.col("_n")).cast("int")).drop("_n", "_top", "_body")
 
 
+def sequence(rows: DataFrame) -> DataFrame:
+    """rows with position: a page's regions as they are read, those without an order behind them by place."""
+    order = Window.partitionBy("doc_id", "page_no").orderBy(F.col("reading_order").isNull(), "reading_order", "y0", "x0", "region_ord")
+    return rows.withColumn("position", F.row_number().over(order))
+
+
 def references(rows: DataFrame) -> DataFrame:
     """Entries after a references heading, up to the next heading, over the pages of a document.
 

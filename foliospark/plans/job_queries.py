@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, text as X
-from ..operators import providers as PR, recognition as R, replies as RP, reports as RE, spans as SP, structure as S, tasks as T, translate as TR
+from ..operators import ocr_plan as O, providers as PR, recognition as R, replies as RP, reports as RE, spans as SP, structure as S, tasks as T, translate as TR
 from ..sources import ir
 
 
@@ -357,11 +357,30 @@ def round_trip_gates(spark, sf_dir):
     return got.select("doc_id", "source_page_count", "output_page_count", "passed", F.array_join("failed", ",").alias("failed"), "mean_changed_fraction")
 
 
+def rounded_boxes(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    box = F.array(F.col("l_quantity") / 7, F.col("l_tax"), F.when(F.col("l_linenumber") != 3, F.col("l_discount")), F.when(F.col("l_linenumber") == 4, float("nan")).otherwise(F.col("l_quantity")))
+    b = G.rounded_box(F.when(F.col("l_linenumber") == 5, F.slice(box, 1, 3)).otherwise(box))
+    return l.groupBy("l_orderkey").agg(F.count(b).alias("boxes"), F.bround(F.sum(F.coalesce(b[0], F.lit(0.0))) * 1000).cast("long").alias("x0_sum"))
+
+
+def region_sequence(spark, sf_dir):
+    rows = regions(spark, sf_dir).withColumn("reading_order", F.when(F.col("region_ord") % 4 != 1, 100 - F.col("region_ord")))
+    return S.sequence(rows).select("doc_id", "page_no", "region_ord", "position")
+
+
+def page_decisions(spark, sf_dir):
+    rows = regions(spark, sf_dir).withColumns({"content_source": F.when(F.col("page_no") % 2 == 0, "paddleocr").otherwise("native_pdf"), "confidence": F.when(F.col("doc_id") % 2 == 0, 0.5).otherwise(1.0)})
+    decided = O.decide(O.diagnostics(rows))
+    free = decided.join(O.blocked(decided).select("doc_id").distinct(), "doc_id", "left_anti")
+    return O.unblocked(O.with_decisions(rows, decided).join(free.select("doc_id").distinct(), "doc_id", "left_semi"), free).groupBy("doc_id", "action").agg(F.count("*").alias("regions"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         reply_parsing, model_ids, endpoints, configurations, clean_fields, languages, chat_messages, safe_messages, task_list, task_details, task_titles, retained_paths, public_reports, recognised_regions, recognition_runs,
         text_heavy_pages, image_candidates, redactions, protection_stats, flow_fonts, layout_stats, font_styles, font_counts, paired_pages, inspection_reports, page_windows, paragraph_hits, selections, glossary_problems,
-        base_types, page_texts, cached_translations, unreferenced_files, block_styles, visual_lines, request_checks, round_trip_gates,
+        base_types, page_texts, cached_translations, unreferenced_files, block_styles, visual_lines, request_checks, round_trip_gates, rounded_boxes, region_sequence, page_decisions,
     )
 }

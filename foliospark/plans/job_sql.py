@@ -133,6 +133,11 @@ SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN le
     "round_trip_gates": f"""WITH {_IR}, p AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM r GROUP BY doc_id)
 SELECT doc_id, n AS source_page_count, CASE WHEN doc_id % 5 = 1 THEN 1 ELSE n END AS output_page_count, NOT ((doc_id % 5 = 1 AND n > 1) OR doc_id % 5 > 1) AS passed,
   CASE doc_id % 5 WHEN 1 THEN CASE WHEN n > 1 THEN 'same_page_count,links_preserved' ELSE '' END WHEN 2 THEN 'text_similarity_at_least_0_98' WHEN 3 THEN 'same_page_dimensions' WHEN 4 THEN 'no_skipped_regions' ELSE '' END AS failed, 0.0::DOUBLE AS mean_changed_fraction FROM p""",
+    "rounded_boxes": """WITH b AS (SELECT l_orderkey, l_linenumber NOT IN (3, 4, 5) AS ok, round(l_quantity / 7, 3) AS x FROM lineitem) SELECT l_orderkey, count(*) FILTER (ok) AS boxes, round_even(coalesce(sum(x) FILTER (ok), 0) * 1000, 0)::BIGINT AS x0_sum FROM b GROUP BY l_orderkey""",
+    "region_sequence": f"WITH {_IR} SELECT doc_id, page_no, region_ord, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY region_ord % 4 = 1, CASE WHEN region_ord % 4 <> 1 THEN 100 - region_ord END, y0, x0, region_ord))::INT AS position FROM r",
+    "page_decisions": f"""WITH {_IR}, p AS (SELECT doc_id, page_no, count(*) AS n, sum(length(regexp_replace(source_text, '\\s', '', 'g'))) AS ch FROM r GROUP BY ALL),
+a AS (SELECT *, CASE WHEN page_no % 2 = 1 THEN 'keep_native' WHEN ch >= 40 AND doc_id % 2 <> 0 THEN 'use_ocr' ELSE 'review' END AS action FROM p)
+SELECT doc_id, action, sum(n)::BIGINT AS regions FROM a WHERE doc_id NOT IN (SELECT doc_id FROM a WHERE action = 'review') GROUP BY ALL""",
     "cached_translations": "SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents c WHERE c.source = 'src0' AND coalesce(c.text, '') = coalesce(d.text, '')) THEN 'from cache' ELSE length(coalesce(text, ''))::VARCHAR END AS normal FROM documents d",
     "unreferenced_files": """WITH f AS (SELECT '/up/' || doc_id % 50 || '/' || doc_id % 7 || '/' || doc_id AS path, '/up/' || doc_id % 50 || '/' || doc_id % 7 AS up FROM documents WHERE doc_id IS NOT NULL) SELECT path FROM f WHERE up NOT IN (SELECT '/up/' || c_custkey % 90 || '/' || c_custkey % 3 FROM customer)""",
 }

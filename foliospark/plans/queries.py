@@ -52,7 +52,7 @@ def structure(spark, sf_dir):
 
 
 def page_layouts(spark, sf_dir):
-    return S.page_layout(S.recover(regions(spark, sf_dir)))
+    return S.page_layout(S.columns(S.with_body_size(regions(spark, sf_dir))))
 
 
 def _wide(rows: DataFrame) -> DataFrame:
@@ -333,6 +333,8 @@ SELECT doc_id, page_no, region_ord, CASE WHEN low THEN 'footnote' ELSE CASE k WH
   CASE WHEN low THEN 'small_bottom_text' ELSE CASE k WHEN 0 THEN 'vertical_margin_mark' WHEN 1 THEN 'figure_caption_prefix' WHEN 2 THEN 'table_caption_prefix' WHEN 3 THEN 'numbered_bold_heading' END END AS structure_rule,
   (CASE WHEN low THEN 0.8 ELSE CASE k WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 ELSE 1.0 END END)::DOUBLE AS confidence
 FROM (SELECT *, k = 9 AND type = 'paragraph' AND body > 0 AND font_size <= 0.86 * body AND y0 >= 656 AND x1 - x0 <= 288 AS low FROM m)""",
+    "page_layouts": f"""WITH {_IR}, {_COLS}, b AS (SELECT doc_id, page_no, coalesce(median(font_size) FILTER (x1 - x0 >= 132), 0) AS body FROM r GROUP BY ALL)
+SELECT doc_id, page_no, CASE WHEN bool_or(two_columns) THEN 'two_column' ELSE 'single_column' END AS layout, any_value(body)::DOUBLE AS body_font_size, CASE WHEN bool_or(two_columns) THEN 0.72 ELSE 0.6 END::DOUBLE AS structure_confidence, count(*) AS regions FROM c JOIN b USING (doc_id, page_no) GROUP BY ALL""",
     "formula_seeds": f"""WITH {_IR}, s AS (SELECT *, trim(regexp_replace(source_text, '\\s+', ' ', 'g')) AS t FROM r),
 f AS (SELECT *, len(regexp_extract_all(t, '[A-Za-z]{{3,}}')) AS w, length(t) - length(regexp_replace(t, '[=∑∫√λσφ±×÷≤≥≈≠∞^_{{}}⌊⌋ˆ˜−∈∥|<>•/]', '', 'g')) AS m, length(regexp_replace(t, '\\s+', '', 'g')) AS c, regexp_matches(source_text, '[\\x00-\\x08\\x0E-\\x1B]') AS ctl FROM s)
 SELECT doc_id, page_no, region_ord FROM f WHERE length(t) <= 240 AND (ctl OR (contains(t, '=') AND m >= 2 AND w <= 12) OR (m >= 4 AND w <= 8) OR (m >= 2 AND length(t) <= 80 AND w <= 3) OR (m >= 1 AND length(t) <= 12 AND w <= 2) OR (c <= 16 AND regexp_matches(t, '\\pN') AND w <= 1) OR (type = 'heading' AND length(t) <= 40 AND m >= 2))""",

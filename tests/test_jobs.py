@@ -120,6 +120,18 @@ def test_texts(spark):
     assert one(spark, RE.linked_page(F.lit(3), F.array(F.lit(1), F.lit(3)))) == 3 and one(spark, RE.selected_text(F.lit("  "))) is None
 
 
+def test_blocked_pages_and_published_rows(spark, tmp_path):
+    from foliospark.operators import ocr_plan as O, quality as Q
+
+    decided = spark.createDataFrame([(1, 1, "keep_native", ""), (2, 3, "review", "")], "doc_id long, page_no int, action string, reason string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, t string")
+    assert O.unblocked(rows.where("doc_id = 1"), decided).count() == 1
+    with pytest.raises(Exception, match="reviewed first: 3"):
+        O.unblocked(rows, decided).collect()
+    gates = Q.gate(spark.createDataFrame([(1, True), (2, False)], "doc_id long, fine boolean"), ["fine"])
+    assert [r["t"] for r in Q.publish(rows, gates, f"{tmp_path}/out").collect()] == ["a"]
+
+
 def test_mixed_currencies_are_an_error(spark):
     calls = spark.createDataFrame([(1, 1, 0, 1, 1.0, "USD"), (1, 1, 0, 1, 1.0, "CNY")], "job int, input_tokens long, cached_tokens long, output_tokens long, cost double, currency string")
     with pytest.raises(Exception, match="currencies"):
