@@ -148,19 +148,41 @@ def test_components(spark):
     assert got == {x: ids[root[k]] for k, x in enumerate(ids)}
 
 
-def test_embeddings(spark):
+def brute_links(ids, vectors, cosine=0.9):
+    """n_links and component of each row, by all pairs in double precision."""
+    good = [x is not None and len(x) > 0 and all(c is not None and np.isfinite(c) for c in x) and any(x) for x in vectors]
+    unit = [np.array(x, float) / np.linalg.norm(np.array(x, float)) if g else None for x, g in zip(vectors, good)]
+    near = lambda a, b: good[a] and good[b] and len(vectors[a]) == len(vectors[b]) and float(unit[a] @ unit[b]) >= cosine
+    n = len(ids)
+    root = closed(n, near)
+    least = {r: min((ids[i] for i in range(n) if root[i] == r and ids[i] is not None), default=None) for r in set(root)}
+    return [(ids[i], sum(near(i, j) for j in range(n) if j != i), least[root[i]]) for i in range(n)]
+
+
+def compare_links(spark, ids, vectors, kind="float"):
+    data = spark.createDataFrame([(i, x, 1) for i, x in zip(ids, vectors)], f"vec_id long, embedding array<{kind}>, node int")
+    got = embedding_dedup.near_duplicates(data, 0.9).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=key) == sorted(brute_links(ids, vectors), key=key)
+    assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 16)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 8)
+    monkeypatch.setattr(embedding_dedup, "COLS", 16)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 32))
     rows = np.concatenate([base, base[:20] + rng.normal(scale=0.25, size=(20, 32)), base[:10] * 3, base[:5]]).astype(np.float32)
-    data = [(i, x.tolist()) for i, x in enumerate(rows)] + [(900, None), (901, []), (902, [0.0] * 32), (903, [float("nan")] * 32), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (None, rows[0].tolist())]
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, x, 1) for i, x in data], "vec_id long, embedding array<float>, node int"), 0.9).collect()}
-    u = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1)[:, None]
-    cos = u @ u.T
-    root = closed(len(rows), lambda a, b: cos[a, b] >= 0.9)
-    for i in range(len(rows)):
-        assert got[i]["n_links"] == (cos[i] >= 0.9).sum() - 1 and got[i]["component_id"] == root[i] and got[i]["kept"] == (root[i] == i)
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (900, 901, 902, 903))
-    assert got[905]["component_id"] == 904 and got[None]["component_id"] is None and not got[None]["kept"]
+    ids = [*range(len(rows)), 900, 901, 902, 903, 906, 904, 905, None, None, 904, 3, 3]
+    vectors = [*rows.tolist(), None, [], [0.0] * 32, [float("nan")] * 32, [None] * 32, [1.0, 2.0], [2.0, 4.0], rows[0].tolist(), [7.0] * 5, rows[1].tolist(), rows[3].tolist(), rows[9].tolist()]
+    compare_links(spark, ids, vectors)
+
+
+def test_embeddings_of_many_lengths_and_none(spark):
+    vectors = [[1.0] * n for n in range(1, 13) for _ in range(2)]
+    compare_links(spark, list(range(len(vectors))), vectors, "double")
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def fingerprint(text):
@@ -208,6 +230,20 @@ def test_mixing_meets_targets(spark):
     assert source_mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_clashing_columns_and_many_categories(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice(["en", "de", None]), f"s{rng.randrange(12)}", i, -i, "x", 1.0) for i in range(200)]
+    rows += rows[:3]
+    schema = "doc_id long, text string, lang string, source string, g long, w long, _source string, probability double"
+    docs = spark.createDataFrame(rows, schema)
+    few = sorted(source_mixing.mix(docs).collect(), key=str)
+    assert len(few) == len(rows) and all((r["g"], r["w"], r["_source"]) == (r["doc_id"], -r["doc_id"], "x") for r in few)
+    monkeypatch.setattr(source_mixing, "FEW", 5)  # sources are many now
+    many = sorted(source_mixing.mix(docs).collect(), key=str)
+    assert all(abs(a["probability"] - b["probability"]) < 1e-9 and a["kept"] == b["kept"] for a, b in zip(few, many, strict=True))
+    assert source_mixing.repeated(source_mixing.mix(docs)).count() > 0
+
+
 def test_classifier_separates(spark):
     rng = random.Random(6)
     plain, bad = ["river", "stone", "cloud", "green", "table", "quiet"], ["vile", "rotten"]
@@ -272,3 +308,97 @@ def test_rules(spark):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w))
     told = quality_rules.ablations(quality_rules.ledger(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert {r["rule"]: r["failed"] for r in told}["few_words"] == sum(len((t or "").encode().split()) < 10 for _, t in rows)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = [(None, "a b c d", 1), (None, "only here", 1), (7, "a b c d", 2), (7, "a b c d", 2), (9, None, 3), (8, "", 3)]
+    fps, _ = written(simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, fp int")), "test")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(fps).collect()), key=str)
+    assert got == sorted([(None, 7), (None, None), (7, 7), (7, 7), (9, 8), (8, 8)], key=str)
+    empty, _ = written(simhash.fingerprints(spark.createDataFrame([], "doc_id long, text string")), "test")
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def brute_tails(model, text):
+    """P(grade >= j) by dictionaries, a word at a time."""
+    import math
+    import re
+
+    words = text.split()
+    shares, present = {}, set()
+    for w in words:
+        shape = re.sub(r"(.)\1+", r"\1\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+        k = zlib.crc32(shape.encode()) % quality_classifier.SHAPES
+        shares[k] = shares.get(k, 0) + 1 / len(words)
+        present.add(zlib.crc32(w.strip(".,;:!?\"'()[]|").lower().encode()) % 2**quality_classifier.BITS)
+    base = 2**quality_classifier.BITS
+    z = sum(model.weights[k] for k in present) + sum(model.weights[base + k] * v for k, v in shares.items())
+    lines = [x for x in text.split("\n") if x.strip()]
+    z += model.weights[base + quality_classifier.SHAPES] * (1 - len(set(lines)) / len(lines))
+    z += model.weights[base + quality_classifier.SHAPES + 1] * math.log(len(words) / len(present)) / math.log(len(words) + 1)
+    return [1 / (1 + math.exp(b - z)) for b in model.bounds]
+
+
+def test_classifier_agrees_with_brute_force(spark):
+    rng = np.random.default_rng(2)
+    model = quality_classifier.Model(np.float32(rng.normal(size=2**quality_classifier.BITS + quality_classifier.EXTRA)), np.array([-1.0, 0.5]))
+    rows = [(i, t) for i, t in enumerate(texts(60)) if t.split()]
+    rows += [(500, "long " * 3000 + "x" * 5000), (501, "one"), (501, "one"), (502, "aé1\naé1\nB-b")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, expected_grade int, memo string")
+    got = quality_classifier.score(docs, model, 2).collect()
+    assert len(got) == len(rows) and {r["memo"] for r in got} == {"x"}
+    want = {t: brute_tails(model, t) for _, t in rows}
+    for r in got:
+        assert r["tail_probability"] == pytest.approx(want[r["text"]][1], abs=1e-4) and r["expected_grade"] == pytest.approx(sum(want[r["text"]]), abs=1e-4)
+    assert quality_classifier.score(docs.limit(0), model, 2).count() == 0
+
+
+def test_classifier_training_lowers_the_loss():
+    rng = random.Random(3)
+    features = quality_classifier.Features()
+    rows, grades = [], []
+    for _ in range(300):
+        g = rng.randrange(3)
+        rows.append(features(" ".join(rng.choice(["plain", "words", "here"]) for _ in range(20)) + " bad" * (2 - g)))
+        grades.append(g)
+    loss = lambda m: -sum(np.log(max(1e-9, ([1.0, *m.tails(*r), 0.0][g] - [1.0, *m.tails(*r), 0.0][g + 1]))) for r, g in zip(rows, grades))
+    short, long = (quality_classifier.train(rows, np.array(grades), epochs=n) for n in (1, 200))
+    assert loss(long) < 0.5 * loss(short) and (np.diff(long.bounds) > 0).all()
+
+
+def test_language_agrees_with_brute_force(spark):
+    rng = np.random.default_rng(4)
+    network = language_id.Network(["aa", "bb", "cc"], {w: rng.normal(size=(w, 256, language_id.FILTERS)) for w in language_id.WIDTHS}, rng.normal(size=(language_id.FILTERS * len(language_id.WIDTHS) + 1, 3)))
+
+    def brute(text):
+        data, total = text.encode(), np.zeros(3)
+        for at in range(0, len(data), language_id.WINDOW):
+            part = data[at : at + language_id.WINDOW]
+            x = part.ljust(language_id.WINDOW, b"\0")
+            h = [max(sum(f[j, x[k + j], c] for j in range(w)) for k in range(len(x) - w + 1)) for w, f in network.filters.items() for c in range(language_id.FILTERS)]
+            z = np.array(h) @ network.out[:-1] + network.out[-1]
+            total += len(part) * (z - np.log(np.exp(z - z.max()).sum()) - z.max())
+        p = np.exp(total / len(data) - (total / len(data)).max())
+        return network.classes[int(p.argmax())], float((p / p.sum()).max())
+
+    some = ["short text", "ü" * 200, "words and more words " * 30, "x" * 257]
+    docs = spark.createDataFrame([(i, t, "zz", 1.0) for i, t in enumerate(some + some[:1])], "doc_id long, text string, lang_pred string, score double")
+    got = language_id.predict(docs, network).collect()
+    assert len(got) == 5 and got[0].asDict().keys() == {"doc_id", "text", "lang_pred", "score"}
+    for r in got:
+        lang, score = brute(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4)
+    assert language_id.predict(docs.limit(0), network).count() == 0
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    rows = [(1, f"same id {i} " + "a" * i, "aa") for i in range(50)] + [(2, "other words", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(df, most=2).classes == ["aa", "bb"]
+    ratings = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, grade int")
+    assert quality_classifier.fit(df, ratings, most=2) is not None
+
+
+def test_rules_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert quality_rules.apply_policy(quality_rules.ledger(empty)).count() == 0
