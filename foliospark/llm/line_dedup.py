@@ -15,27 +15,36 @@ verified by banded bit-parallel edit distance.
 DataFrame functions only. Lines are written once as numbers: their
 place, hash and keys. All keys are then reduced to those with two different
 lines, by an aggregation with partial results, so that a line's copies meet
-nowhere; only lines with such a key are fetched as texts. Sketches of letter
-counts, of which each edit changes two by one at most, are part of the join's
+nowhere; only lines with such a key are fetched as texts. Sketches of
+character counts, of which each edit changes two by one at most, are part of the join's
 condition, and a pair is formed at the first segment that it shares: so unlike
 lines of a common segment, and pairs of several, make no further rows.
 
+A key of over DEAL lines, such as a template's, is hot. Its lines get marks
+besides: the parity of their pairs of characters in 64 classes, four times.
+What lines have in common cancels out in the difference of two marks, and an
+edit changes four bits of it at most. And the lines indexed under a hot key are
+dealt out in chunks of about DEAL, each a key of its own that all probes visit,
+so that its work is spread over tasks.
+
 Defined cases: null and empty texts have no line, and stay as they are; lines
 without a word stay, so blank lines aren't duplicates; rows of equal doc_id
 and text lose the same lines; a null doc_id comes last; an empty table gives no
-rows; other columns are passed on. Lines are told apart by 64-bit hashes, and
-in candidate pairs by their texts.
+rows; other columns are passed on, whatever their names, but for n_lines,
+n_equal and n_near, which are replaced. Lines are told apart by 128 bits of
+hashes, and in candidate pairs by their texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import table, written
+from .shared import FEW_BYTES, few, fresh, scratch, table, written
 
 EDITS, LEAST = 2, 30
-SMALL = 500_000  # rows of two or three numbers that are broadcast at most; beyond it, joins shuffle
-LETTERS = ("enirats", "ohldcum")  # counted in the two longs of a sketch, eight bits each
+DEAL = 1024  # lines that one task compares with all probes of their key
+CHARACTERS = ("enirastodhlucmpg", "fbywvk0123456789")  # counted in the two longs of a sketch, four bits each
+CODES = (0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000)  # of a count modulo eight: one more or less changes one bit
 
 
 def let(value: Column, body) -> Column:
@@ -43,52 +52,65 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its rows are counted and few."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
-def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """(start from 0, size) of segment k of edits + 1; the later ones take what is left over."""
-    parts = edits + 1
-    base, over = F.floor(length / parts), length % parts
-    late = F.greatest(F.lit(0), k - (parts - over))
-    return (base * k + late).cast("int"), (base + F.when(k >= parts - over, 1).otherwise(0)).cast("int")
+def bound(length: Column, k: int, edits: int) -> Column:
+    """Where segment k of edits + 1 begins, from 0; so segment edits + 1 is the line's end."""
+    return F.lit(0) if k == 0 else length if k == edits + 1 else F.call_function("div", length * k, F.lit(edits + 1)).cast("int")
 
 
 def keys_of(line: Column, length: Column, edits: int) -> list[Column]:
-    """Hashes of (segment, its line's length, substring) to probe; the first edits + 1 are the segments, to index a line under."""
-    key = lambda k, of, start, size: F.xxhash64(F.lit(k), of, F.substring(line, start + 1, size))
+    """Hashes of (segment, its line's length, substring) to probe; the first edits + 1 are the segments, to index a line under.
+
+    The expressions are kept short: generated code of over 8000 bytes would not be compiled.
+    """
     own, more = [], []
     for gap in range(edits + 1):
-        of = length - gap
+        of = length - gap if gap else length
         for k in range(edits + 1):
-            start, size = segment(of, k, edits)
+            start = bound(of, k, edits)
+            size = bound(of, k + 1, edits) - start if k else bound(of, 1, edits)
             for shift in range(max(-k, gap - (edits - k)), min(k, gap + (edits - k)) + 1):
-                (own if gap == shift == 0 else more).append(key(k, of, start + shift, size))
+                key = F.xxhash64(of * (edits + 1) + k, F.substring(line, start + (shift + 1), size))
+                (own if gap == shift == 0 else more).append(key)
     return own + more
 
 
+def shifted(bits: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", bits.cast("long"), by.cast("int"))
+
+
 def sketch(line: Column) -> list[Column]:
-    """Counts of LETTERS, modulo 256."""
-    low, out = F.lower(line), []
-    for letters in LETTERS:
-        packed = F.lit(0).cast("long")
-        for k, x in enumerate(letters):
-            n = F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))
-            packed = packed.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(255).cast("long")), 8 * k))
-        out.append(packed)
-    return out
+    """Counts of CHARACTERS, in CODES."""
+
+    def of(low: Column, characters: str) -> Column:
+        code = lambda x: F.get(F.array(*map(F.lit, CODES)), (F.length(low) - F.length(F.replace(low, x, F.lit("")))).bitwiseAND(7))
+        parts = F.transform(F.array(*map(F.lit, characters)), lambda x, i: shifted(code(x), 4 * i))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    first, second = CHARACTERS
+    return [let(F.lower(line), lambda low: of(low, first)), let(F.lower(line), lambda low: of(low, second))]
 
 
 def sketch_gap(a: list[Column], b: list[Column]) -> Column:
-    """The least that the letter counts of two sketches differ by in all."""
-    total = F.lit(0)
-    for x, y, letters in zip(a, b, LETTERS, strict=True):
-        for k in range(len(letters)):
-            gap = F.abs(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("long")) - F.shiftright(y, 8 * k).bitwiseAND(F.lit(255).cast("long")))
-            total = total + F.least(gap, 256 - gap)
-    return total
+    """The least that the counts of two sketches differ by in all."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def marks(line: Column) -> Column:
+    """Four longs: of each pair of neighbouring characters a bit in each is turned over."""
+
+    def of(x: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.xxhash64(F.get(x, i), F.get(x, i + 1)))
+
+        def parity(hashes: Column, k: int) -> Column:
+            bit = lambda h: shifted(F.lit(1), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63).cast("long")))
+            return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h)))
+
+        def turn(hashes: Column) -> Column:
+            return F.array(*[parity(hashes, k) for k in range(4)])
+
+        return let(pairs, turn)
+
+    return let(F.split(line, ""), of)
 
 
 def within_edits(long: Column, short: Column, edits: int) -> Column:
@@ -144,7 +166,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     rows = rows.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.xxhash64("line"))
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")))
 
 
 def lines_of(docs: DataFrame, edits: int, least: int, id_col: str, text_col: str) -> DataFrame:
@@ -161,48 +183,61 @@ def order() -> Column:
 
 def near_lines(lines: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, other): different lines within reach of each other, each pair once."""
-    long = lines.where("keys IS NOT NULL")
-    live = long.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    # up to the fetch of texts, half an id does: lines that share it meet as candidates under both lines' keys
+    long = lines.where("keys IS NOT NULL").select(F.col("id.a").alias("half"), "keys")
+    live = long.select("half", F.explode("keys").alias("key")).groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("key")
     live, _ = written(live, "live")
-    hits = long.select("id", F.explode("keys").alias("key")).join(small(live), "key").distinct()
+    hits = long.select("half", F.explode("keys").alias("key")).join(few(live), "key").distinct()
     hits, _ = written(hits, "hits")
-    ids, _ = written(hits.select("id").distinct(), "ids")
-    said = texts.select("id", "line").join(small(ids), "id").groupBy("id").agg(F.any_value("line").alias("line")).withColumn("n", F.length("line"))
+    hot, _ = written(hits.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > DEAL).select("key", F.ceil(F.col("n") / DEAL).cast("int").alias("chunks")), "hot")
+    some = not hot.isEmpty()
+    dealt = hits.join(few(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))) if some else hits.withColumn("chunks", F.lit(1))
+    ids, _ = written(dealt.groupBy("half").agg((F.max("chunks") > 1).alias("marked")), "ids")
+    said = texts.select("id", F.col("id.a").alias("half"), "line").join(few(ids), "half").groupBy("id", "half").agg(F.any_value("line").alias("line"), F.any_value("marked").alias("marked")).withColumn("n", F.length("line"))
     one, two = sketch(F.col("line"))
-    said, _ = written(said.select("id", "line", "n", F.array(*keys_of(F.col("line"), F.col("n"), edits)).alias("keys"), one.alias("one"), two.alias("two")), "said")
-    found = hits.join(said, "id")
+    said, _ = written(said.select("id", "half", "line", "n", F.array(*keys_of(F.col("line"), F.col("n"), edits)).alias("keys"), one.alias("one"), two.alias("two"), F.when(F.col("marked"), marks(F.col("line"))).alias("marks")), "said")
+    found = dealt.join(said, "half")
     # a line is indexed under its segments; a pair is formed at the first segment that both have
     place = F.array_position(F.slice("keys", 1, edits + 1), F.col("key"))
-    a = found.withColumn("place", place).where("place > 0").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("line").alias("short"), F.slice("keys", F.lit(1), F.greatest(F.col("place") - 1, F.lit(0)).cast("int")).alias("before"), F.col("one").alias("one2"), F.col("two").alias("two2"))
+    a = found.withColumn("place", place).where("place > 0").select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("line").alias("short"), F.slice("keys", F.lit(1), F.greatest(F.col("place") - 1, F.lit(0)).cast("int")).alias("before"), F.col("one").alias("one2"), F.col("two").alias("two2"), F.col("marks").alias("marks2"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    found = found.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) if some else found.withColumn("chunk", F.lit(0))
     longer = (F.col("n") > F.col("m")) | (F.col("id") > F.col("other"))
     like = sketch_gap([F.col("one"), F.col("two")], [F.col("one2"), F.col("two2")]) <= 2 * edits
-    pairs = found.join(a, "key").where((F.col("id") != F.col("other")) & (F.col("n") >= F.col("m")) & (F.col("n") - F.col("m") <= edits) & longer & like & ~F.arrays_overlap("keys", "before"))
+    cond = (F.col("id") != F.col("other")) & (F.col("n") >= F.col("m")) & (F.col("n") - F.col("m") <= edits) & longer
+    if some:
+        for k in range(4):
+            cond = cond & F.coalesce(F.bit_count(F.get("marks", F.lit(k)).bitwiseXOR(F.get("marks2", F.lit(k)))) <= 4 * edits, F.lit(True))
+    pairs = found.join(a, ["key", "chunk"]).where(cond & like & ~F.arrays_overlap("keys", "before"))
     return pairs.where(within_edits(F.col("line"), F.col("short"), edits)).select("id", "other")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col less its duplicate lines, and n_lines, n_equal, n_near: lines with a word, and those that went as equal or near ones."""
-    lines = lines_of(docs, edits, least, id_col, text_col)
-    pairs, _ = written(near_lines(lines, texts_of(docs, id_col, text_col), edits), "pairs")
-    firsts, _ = written(lines.select("id", order().alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")), "firsts")
-    both = pairs.union(pairs.select("other", "id"))
-    at = both.select("id").distinct().join(firsts, "id").select("id", "first")
-    before = both.join(at, "id").join(at.select(F.col("id").alias("other"), F.col("first").alias("earlier")), "other").where("earlier < first").select("id").distinct()
-    near, _ = written(before, "near")
-    # lines that may go: all but the first of equal ones, and near ones
-    some = firsts.where("n > 1").select("id", "first").join(near.withColumn("near", F.lit(True)), "id", "full").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    some, _ = written(some, "some")
-    going = lines.select("id", "doc_id", "version", "place", order().alias("at")).join(small(some), "id").withColumn("equal", F.coalesce(F.col("at") > F.col("first"), F.lit(False))).where("equal OR near")
-    going = going.groupBy("doc_id", "version", "place").agg(F.any_value("equal").alias("equal"))  # repeated rows have each line twice
-    gone = going.groupBy("doc_id", "version").agg(F.collect_list("place").alias("_gone"), F.count_if("equal").alias("_equal"), F.count_if(~F.col("equal")).alias("_near"))
-    gone, _ = written(gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_gone", "_equal", "_near"), "gone")
+    with scratch(docs.sparkSession):
+        lines = lines_of(docs, edits, least, id_col, text_col)
+        pairs, _ = written(near_lines(lines, texts_of(docs, id_col, text_col), edits), "pairs")
+        firsts, _ = written(lines.select("id", order().alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")), "firsts")
+        both = pairs.union(pairs.select("other", "id"))
+        at = both.select("id").distinct().join(firsts, "id").select("id", "first")
+        before = both.join(at, "id").join(at.select(F.col("id").alias("other"), F.col("first").alias("earlier")), "other").where("earlier < first").select("id").distinct()
+        near, _ = written(before, "near")
+        # lines that may go: all but the first of equal ones, and near ones
+        some = firsts.where("n > 1").select("id", "first").join(near.withColumn("near", F.lit(True)), "id", "full").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        some, _ = written(some, "some")
+        going = lines.select("id", "doc_id", "version", "place", order().alias("at")).join(few(some, FEW_BYTES // 4), "id").withColumn("equal", F.coalesce(F.col("at") > F.col("first"), F.lit(False))).where("equal OR near")
+        going = going.groupBy("doc_id", "version", "place").agg(F.any_value("equal").alias("equal"))  # repeated rows have each line twice
+        out = ["n_lines", "n_equal", "n_near"]
+        n_equal, n_near, places, own, which = fresh([*docs.columns, *out], "equal", "near", "places", "own", "which")
+        gone = going.groupBy("doc_id", "version").agg(F.collect_list("place").alias(places), F.count_if("equal").alias(n_equal), F.count_if(~F.col("equal")).alias(n_near))
+        gone, _ = written(gone.select(F.col("doc_id").alias(own), F.col("version").alias(which), places, n_equal, n_near), "gone", keep=True)
+    size = gone.agg(F.sum(F.lit(64) + 4 * F.size(places))).first()[0] or 0
     text = F.col(text_col).cast("string")
-    rows = docs.join(small(gone), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_version")), "left")
+    rows = docs.join(F.broadcast(gone) if size <= FEW_BYTES else gone, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(which)), "left")
     parts = F.split(text, "\n")
-    keep = let(F.struct(parts.alias("x"), F.col("_gone").alias("gone")), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["x"]) - 1), s["gone"]), lambda i: F.get(s["x"], i)), "\n"))
+    keep = let(F.struct(parts.alias("x"), F.col(places).alias("gone")), lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["x"]) - 1), s["gone"]), lambda i: F.get(s["x"], i)), "\n"))
     count = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    out = {"n_lines": F.when(text.isNull(), F.lit(0)).otherwise(count).cast("long"), "n_equal": F.coalesce("_equal", F.lit(0)).cast("long"), "n_near": F.coalesce("_near", F.lit(0)).cast("long"), text_col: F.when(F.col("_gone").isNull(), text).otherwise(keep)}
-    return rows.withColumns(out).drop("_id", "_version", "_gone", "_equal", "_near")
+    told = {"n_lines": F.when(text.isNull(), F.lit(0)).otherwise(count).cast("long"), "n_equal": F.coalesce(n_equal, F.lit(0)).cast("long"), "n_near": F.coalesce(n_near, F.lit(0)).cast("long"), text_col: F.when(F.col(places).isNull(), text).otherwise(keep)}
+    return rows.withColumns(told).drop(own, which, places, n_equal, n_near)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

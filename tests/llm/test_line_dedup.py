@@ -89,3 +89,42 @@ def test_empty_and_extra_columns(spark):
     some = spark.createDataFrame([(1, "one line of some thirty characters\nx", 7, "l", 1), (2, "one line of some thirty charactera\nx", 8, None, None)], none.schema)
     got = sorted(line_dedup.dedup_lines(some).collect(), key=lambda r: r["doc_id"])
     assert [(r["text"], r["n_equal"], r["n_near"], r["id"]) for r in got] == [("one line of some thirty characters\nx", 0, 0, 7), ("", 1, 1, 8)]
+
+
+def test_hot_segments_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "DEAL", 8)
+    rng = random.Random(6)
+    docs = [(i, f"2024-01-01 request number {rng.randrange(10**4):08d} was done in good time") for i in range(150)]
+    docs += [(200 + i, changed(rng, docs[i][1], rng.choice([1, 2, 3]))) for i in range(30)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text")
+    assert sorted(((r[0], r[1]) for r in out.collect()), key=str) == expected(docs, 2, 30)
+
+
+def test_sketches_bound_edits(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(200):
+        a = "".join(rng.choice("aabcdeeé 0123456789") for _ in range(rng.randrange(30, 60)))
+        rows.append((a, changed(rng, a, k % 3)))
+    one, two = (line_dedup.sketch(F.col(c)) for c in "ab")
+    got = spark.createDataFrame(rows, "a string, b string").select(line_dedup.sketch_gap(one, two).alias("gap")).collect()
+    assert all(r["gap"] <= 2 * (k % 3) for k, r in enumerate(got)) and any(r["gap"] == 4 for r in got)
+
+
+def test_marks_bound_edits(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcdé 0123456789") for _ in range(rng.randrange(30, 60)))
+        rows.append((a, changed(rng, a, 2)))
+    got = spark.createDataFrame(rows, "a string, b string").select(line_dedup.marks(F.col("a")).alias("a"), line_dedup.marks(F.col("b")).alias("b")).collect()
+    assert all(((x ^ y) & (1 << 64) - 1).bit_count() <= 8 for r in got for x, y in zip(r["a"], r["b"]))
+
+
+def test_clashing_columns(spark):
+    names = ["_gone", "_equal", "_id", "_version", "_near", "equal", "near", "places", "own", "which", "version", "place", "n_near"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{x}` int" for x in names)
+    line = "one line of some thirty characters"
+    docs = spark.createDataFrame([(k, line, *range(len(names))) for k in (1, 2)], schema)
+    got = sorted(line_dedup.dedup_lines(docs).collect(), key=lambda r: r["doc_id"])
+    assert [(r["text"], r["_gone"], r["near"], r["which"], r["n_near"]) for r in got] == [(line, 0, 6, 9, 0), ("", 0, 6, 9, 0)]
