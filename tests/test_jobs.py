@@ -4,7 +4,6 @@ import json
 import os
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
