@@ -10,7 +10,8 @@ least, so each block is range-joined by itself:
   of its nearest pivot, and visits every cell of a lower number whose border,
   the bisecting plane, is within the block's radius;
 * a cell's homes meet each other and its visitors, in chunks of bounded size;
-* pairs within the budget are candidates. They are taken up in the first block
+* pairs within the budget, by one single-precision product of a chunk's
+  coordinates with slack, are candidates. They are taken up in the first block
   that has them, and verified in double precision on the vectors as given.
 
 A task returns each vector's number of links and a spanning star of them, never
@@ -18,9 +19,10 @@ its pairs. Equal vectors are one node; their number counts as links.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, and are returned; vectors of different lengths
-are not compared with each other; rows of one vec_id: the smallest vector
-counts, for the others the row is dropped; a null vec_id is returned with no
-component; an empty table gives no rows; other columns are ignored.
+are not compared with each other; every row is compared, so rows of one vec_id
+and equal rows link like any others; a row without vec_id links too, but can't
+name a component: one without any other id has none; an empty table gives no
+rows; other columns are ignored; arrays of doubles keep their precision.
 """
 
 from __future__ import annotations
@@ -31,13 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import components, star_forest, table, written
+from .shared import components, scratch, star_forest, table, written
 
-BLOCK = 16
-CELL = 4096  # vectors aimed at in a cell
+BLOCK = 8
+CELL = 16384  # vectors aimed at in a cell
 PIVOTS = 4096  # at most, so the table of cells is bounded
-CHUNK = 4096  # rows of a cell that one task compares with as many others
+CHUNK = 16384  # rows of a cell that one task compares with as many others
 SLACK = 1e-6  # on squared distances, against rounding
+ROUGH = 1e-4  # the same in single precision
+#: Products are stacks of ROWS x COLS, which stay in a core's cache and are too small for a linear algebra library to start threads for.
+ROWS, COLS, STACK = 16, 1024, 16
+FAR = 1e6
 
 
 @dataclass
@@ -89,7 +95,7 @@ def make_plan(nodes: DataFrame, n: int, dim: int, cosine: float) -> Plan:
     budgets = (2 - 2 * cosine) * share / share.sum()
     count = int(min(PIVOTS, max(1, -(-n // CELL))))
     rows = nodes.select("vector").orderBy(F.xxhash64("vector")).limit(count).collect()
-    sample = rotated(np.array([r["vector"] for r in rows], np.float32).reshape(-1, dim), axes)
+    sample = rotated(np.array([r["vector"] for r in rows], np.float64).reshape(-1, dim), axes)
     return Plan(cosine, axes, blocks, budgets, [np.unique(sample[:, a:z], axis=0) for a, z in blocks])
 
 
@@ -154,44 +160,65 @@ def dealt(nodes: DataFrame, plan: Plan, dim: int) -> DataFrame:
             got = part.take(pa.array(row[which]))
             yield pa.record_batch([pa.array(np.full(len(which), k, np.int32)), pa.array(cell[which].astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(left), pa.array(right), *got.columns], ["block", "cell", "i", "j", "left", "right", *got.schema.names])
 
-    return nodes.mapInArrow(send, "block int, cell int, i int, j int, left boolean, right boolean, node long, copies long, vector array<float>")
+    kind = nodes.schema["vector"].dataType.simpleString()
+    return nodes.mapInArrow(send, f"block int, cell int, i int, j int, left boolean, right boolean, node long, copies long, vector {kind}")
 
 
-def join_group(block: int, left, right, plan: Plan):
+def set_bits(near: np.ndarray) -> np.ndarray:
+    """Flat places of the true values of a mostly false array whose size is a multiple of eight."""
+    words = np.flatnonzero(near.reshape(-1).view(np.uint64))
+    i, j = np.nonzero(near.reshape(-1, 8)[words])
+    return words[i] * 8 + j
+
+
+def join_group(block: int, left, right, plan: Plan, same: bool = False):
     """Links of one group: (nodes, number of links of each), and a spanning star (a, b).
 
-    left and right: (node, copies, vectors, rotated), without a node in common.
+    left and right: (node, copies, vectors, rotated), without a node in common
+    unless they are the same rows, of which each pair is then taken once.
     """
     (ln, lc, lv, lr), (rn, rc, rv, rr) = left, right
     a, z = plan.blocks[block]
-    x, y = lr[:, a:z], rr[:, a:z]
-    norm = (y * y).sum(1)
+    # one product gives the squared distances: |x|2 * 1 + 1 * |y|2 - 2 x.y
+    left32, right32 = lr.astype(np.float32), rr.astype(np.float32)
+    x, y = left32[:, a:z], right32[:, a:z]
+    n, m = -(-len(x) // ROWS) * ROWS, -(-len(y) // COLS) * COLS
+    p, q = np.zeros((n, z - a + 2), np.float32), np.zeros((z - a + 2, m), np.float32)
+    p[: len(x), : z - a], q[: z - a, : len(y)] = -2 * x, y.T
+    p[:, -1], q[-2] = 1, 1
+    p[:, -2], q[-1] = FAR, FAR  # rows to fill up with are far from all
+    p[: len(x), -2], q[-1, : len(y)] = (x * x).sum(1), (y * y).sum(1)
+    p, q = p.reshape(-1, ROWS, z - a + 2), np.ascontiguousarray(q.reshape(z - a + 2, -1, COLS).transpose(1, 0, 2))
+    budget, least = np.float32(plan.budgets[block] + ROUGH), np.float32(plan.cosine - ROUGH)
     by_left, by_right, stars, held = np.zeros(len(ln)), np.zeros(len(rn)), [], 0
-    for lo in range(0, len(x), 512):
-        part = x[lo : lo + 512]
-        near = (part * part).sum(1)[:, None] + norm[None, :] - 2 * part @ y.T <= plan.budgets[block] + 10 * SLACK
-        p, q = np.nonzero(near)
-        p += lo
-        for at in range(0, len(p), 65536):
-            i, j = p[at : at + 65536], q[at : at + 65536]
-            gaps = (lr[i] - rr[j]) ** 2
-            first = np.ones(len(i), bool)
-            for b, (s, e) in enumerate(plan.blocks[: block + 1]):
-                within = gaps[:, s:e].sum(1) <= plan.budgets[b] + SLACK
-                first &= within if b == block else ~within
-            i, j = i[first], j[first]
-            u, v = lv[i].astype(np.float64), rv[j].astype(np.float64)
-            cos = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1))
-            ok = cos >= plan.cosine
-            i, j = i[ok], j[ok]
-            if len(i):
-                by_left += np.bincount(i, rc[j], len(ln))
-                by_right += np.bincount(j, lc[i], len(rn))
-                stars.append(star_forest(ln[i], rn[j]))
-                held += len(stars[-1][0])
-                if held > 200_000:
-                    stars = [star_forest(*(np.concatenate(t) for t in zip(*stars, strict=True)))]
-                    held = len(stars[0][0])
+    for lo in range(0, len(p), STACK):
+        for at in range(lo * ROWS // COLS if same else 0, len(q)):
+            near = set_bits(np.matmul(p[lo : lo + STACK], q[at]) <= budget)
+            for k in range(0, len(near), 65536):
+                i, j = np.divmod(near[k : k + 65536], COLS)
+                i, j = i + lo * ROWS, j + at * COLS
+                if same:
+                    i, j = i[i < j], j[i < j]
+                ok = np.einsum("ij,ij->i", left32[i], right32[j]) >= least
+                i, j = i[ok], j[ok]
+                gaps = (lr[i] - rr[j]) ** 2
+                first = np.ones(len(i), bool)
+                for b, (s, e) in enumerate(plan.blocks[: block + 1]):
+                    within = gaps[:, s:e].sum(1) <= plan.budgets[b] + SLACK
+                    first &= within if b == block else ~within
+                i, j = i[first], j[first]
+                u, v = lv[i].astype(np.float64), rv[j].astype(np.float64)
+                cos = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1))
+                ok = cos >= plan.cosine
+                i, j = i[ok], j[ok]
+                if len(i):
+                    by_left += np.bincount(i, rc[j], len(ln))
+                    by_right += np.bincount(j, lc[i], len(rn))
+                    stars.append(star_forest(ln[i], rn[j]))
+                    held += len(stars[-1][0])
+                    if held > 200_000:
+                        stars = [star_forest(*(np.concatenate(t) for t in zip(*stars, strict=True)))]
+                        held = len(stars[0][0])
     if not stars:
         return None
     some_left, some_right = by_left > 0, by_right > 0
@@ -219,7 +246,7 @@ def linked(nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
             is_left, is_right = np.asarray(part.column("left")), np.asarray(part.column("right"))
             own = [c[is_left] for c in cols]
             if key[2] == key[3]:  # a chunk with itself: each pair once
-                got = join_self(key[0], own, plan)
+                got = join_group(key[0], own, own, plan, same=True)
             else:
                 got = join_group(key[0], own, [c[is_right] for c in cols], plan)
             if got is None:
@@ -251,61 +278,34 @@ def linked(nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
     return rows.mapInArrow(run, "node long, links long, root long")
 
 
-def join_self(block: int, rows, plan: Plan):
-    """join_group within one chunk: in steps, each against the rows behind it."""
-    found = []
-    step = 512
-    n = len(rows[0])
-    for lo in range(0, n, step):
-        left = [c[lo : lo + step] for c in rows]
-        if lo + step < n and (got := join_group(block, left, [c[lo + step :] for c in rows], plan)) is not None:
-            found.append(got)
-        size = len(left[0])
-        for half in _halves(size):
-            (a, b), (c, d) = half
-            if (got := join_group(block, [x[a:b] for x in left], [x[c:d] for x in left], plan)) is not None:
-                found.append(got)
-    if not found:
-        return None
-    nodes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64)
-    return nodes, counts, star_forest(*(np.concatenate(t) for t in zip(*(f[2] for f in found), strict=True)))
-
-
-def _halves(n: int, lo: int = 0):
-    """Pairs of ranges that hold each pair of 0..n-1 once."""
-    if n < 2:
-        return
-    mid = n // 2
-    yield (lo, lo + mid), (lo + mid, lo + n)
-    yield from _halves(mid, lo)
-    yield from _halves(n - mid, lo + mid)
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each vec_id."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    one = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = F.coalesce((F.size("vector") > 0) & ~bad & F.exists("vector", lambda x: x != 0), F.lit(False))
-    one, _ = written(one.withColumn("vector", F.when(good, F.col("vector"))), "vectors")
-    nodes, _ = written(one.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "copies", "vector"), "nodes")
-    dims = [r["dim"] for r in nodes.groupBy(F.size("vector").alias("dim")).count().limit(1000).collect()]
-    if len(dims) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    found = None
-    for dim in sorted(dims):
-        part = linked(nodes.where(F.size("vector") == dim), dim, cosine)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "node long, links long, root long")
-    found, _ = written(found, "links")
-    parts = components(found.where("root IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of = nodes.join(links, "node", "left").join(parts, "node", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = one.join(of, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    none = rows.where("vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(none).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    """vec_id, n_links, component_id, kept: one row for each row of vectors."""
+    kind = "array<double>" if vectors.schema[vector_col].dataType.simpleString() == "array<double>" else "array<float>"
+    vector = F.col(vector_col).cast(kind)
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
+    # adding zero makes -0.0 a 0.0, so equal vectors have equal bytes
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(good, F.transform(vector, lambda x: (x + F.lit(0).cast(kind[6:-1])))).alias("vector"))
+    spark = vectors.sparkSession
+    alike = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes, _ = written(alike.select(F.monotonically_increasing_id().alias("node"), "copies", "least", "vector"), "nodes")
+    with scratch(spark):
+        dims = [r["dim"] for r in nodes.select(F.size("vector").alias("dim")).distinct().collect()]  # at most as many as the longest vector has components
+        found = None
+        for dim in sorted(dims):
+            part, _ = written(linked(nodes.where(F.size("vector") == dim).select("node", "copies", "vector"), dim, cosine), "links")
+            found = part if found is None else found.union(part)
+        if found is None:
+            found = spark.createDataFrame([], "node long, links long, root long")
+        parts = components(found.where("root IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        of = nodes.join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of, _ = written(of.select("node", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "of", keep=True)
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = nodes.select("node", "vector").join(of.join(ids, "component").select("node", "n_links", "component_id"), "node").drop("node")
+    out = rows.where("vector IS NOT NULL").join(told, "vector").select("vec_id", "n_links", "component_id")
+    alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
