@@ -176,5 +176,5 @@ def test_sql_agrees(spark, name):
         for t in os.listdir(SF):
             con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({job_sql.ORACLE_SQL[name]})").fetchall()
-    plain = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in [tuple("" if x is None else x for x in r) for r in rows])
-    assert list(map(str, plain(tuple(r) for r in df.select(*cols).collect()))) == list(map(str, plain(want)))
+    plain = lambda rows: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert plain(df.select(*cols).collect()) == plain(want)
